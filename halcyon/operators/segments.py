@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from halcyon.operators.analytics import RISK_LABELS, label_by_rank, profile_by
+from halcyon.operators.analytics import RISK_LABELS, label_by_rank, profile_by  # noqa: F401
 
 PROFILE_COLS = ["age", "bmi", "children", "charges", "risk_score"]
 
@@ -72,7 +72,7 @@ def assign_segment(seg: DataFrame, k: int | None = None) -> DataFrame:
     sizes = seg.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("similar_members_count"))
     kk = k or len(RISK_LABELS)
     out = seg.join(F.broadcast(lab), "cluster_id", "left").join(F.broadcast(sizes), "cluster_id", "left")
-    return out.withColumn("risk_score", F.round(F.col("charge_rank").cast("double") / F.lit(float(kk - 1)) * F.lit(10.0), 1))
+    return out.withColumn("segment_risk_score", F.round(F.col("charge_rank").cast("double") / F.lit(float(kk - 1)) * F.lit(10.0), 1))
 
 
 def fixed_segments_sql(centres=FIXED_CENTRES) -> tuple[str, str, str]:

@@ -404,11 +404,11 @@ def q_profile_heatmap(spark, sf_dir):
 
 @register("assign_segment", with_claims(ENC_SQL, MINMAX_SQL, FEAT_SQL, *_SEG_SQL) + """
 , sz AS (SELECT cluster_id, count(*) AS n FROM seg GROUP BY cluster_id)
-SELECT s.claim_key, s.cluster_id, l.risk_label, round(CAST(l.charge_rank AS DOUBLE) / CAST(3 AS DOUBLE) * CAST(10 AS DOUBLE), 1) AS risk_score,
+SELECT s.claim_key, s.cluster_id, l.risk_label, round(CAST(l.charge_rank AS DOUBLE) / CAST(3 AS DOUBLE) * CAST(10 AS DOUBLE), 1) AS segment_risk_score,
        sz.n AS similar_members_count
 FROM seg s JOIN lab l ON s.cluster_id = l.cluster_id JOIN sz ON s.cluster_id = sz.cluster_id"""
           .replace("\n, sz AS", ",\nsz AS", 1))
 def q_assign_segment(spark, sf_dir):
     seg = S.fixed_segments(_features(spark, sf_dir, targets=False))
-    return S.assign_segment(seg).select("claim_key", "cluster_id", "risk_label", "risk_score",
+    return S.assign_segment(seg).select("claim_key", "cluster_id", "risk_label", "segment_risk_score",
                                         "similar_members_count")
