@@ -100,10 +100,7 @@ class CostModel:
         """predicted cost (2 dp), +/-18 % band, log prediction (4 dp), tier,
         model name (M7, M8)."""
         p = self.model.transform(df).withColumn("_raw", F.expm1("prediction"))
-        t = self.tiers
-        tier = (F.when(F.col("_raw") <= F.lit(t["q25"]), F.lit("low"))
-                .when(F.col("_raw") <= F.lit(t["q75"]), F.lit("medium"))
-                .when(F.col("_raw") <= F.lit(t["q90"]), F.lit("high")).otherwise(F.lit("very_high")))
+        tier = cost_tier(F.col("_raw"), self.tiers)
         return p.select("*", F.round("_raw", 2).alias("predicted_cost"),
                         F.round(F.col("_raw") * (1 - CI_SHARE), 2).alias("ci_lower"),
                         F.round(F.col("_raw") * (1 + CI_SHARE), 2).alias("ci_upper"),
@@ -117,6 +114,13 @@ class CostModel:
         return coefficients_table(spark, names, vals, top)
 
 
+def cost_tier(cost, t: dict):
+    """<= q25 low, <= q75 medium, <= q90 high, else very_high (M8)."""
+    return (F.when(cost <= F.lit(t["q25"]), F.lit("low"))
+            .when(cost <= F.lit(t["q75"]), F.lit("medium"))
+            .when(cost <= F.lit(t["q90"]), F.lit("high")).otherwise(F.lit("very_high")))
+
+
 def cost_tier_thresholds(df: DataFrame, col: str = "charges") -> dict:
     """q25/q50/q75/q90 of the training charges (A4), exact and distributed."""
     return global_quantiles(df, col, [0.25, 0.5, 0.75, 0.9])

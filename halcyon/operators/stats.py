@@ -14,6 +14,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from halcyon.operators.ranks import cumulative_counts
 
@@ -79,12 +80,12 @@ def kolmogorov_sf(d: float, en: float) -> float:
     return min(max(s, 0.0), 1.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_pvalue_udf(t: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([t_two_sided_p(a, b) for a, b in zip(t, dof)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ks_pvalue_udf(d: pd.Series, en: pd.Series) -> pd.Series:
     return pd.Series([kolmogorov_sf(a, b) for a, b in zip(d, en)], dtype="float64")
 
@@ -104,7 +105,7 @@ def ab_test(df: DataFrame, variant: str, metric: str, control: str, treatment: s
           for v, s in ((control, "c"), (treatment, "t"))
           for n, f in (("n", F.count), ("mean", F.avg), ("var", F.var_samp))])
     nc, nt = F.col("n_c").cast("double"), F.col("n_t").cast("double")
-    sp2 = ((nc - 1) * F.col("var_c") + (nt - 1) * F.col("var_t")) / (nc + nt - 2)
+    sp2 = F.try_divide((nc - 1) * F.col("var_c") + (nt - 1) * F.col("var_t"), nc + nt - 2)
     t = (F.col("mean_c") - F.col("mean_t")) / F.sqrt(sp2 * (F.lit(1.0) / nc + F.lit(1.0) / nt))
     pooled = F.sqrt((F.col("var_c") + F.col("var_t")) / 2)
     d = F.when(pooled > 0, (F.col("mean_t") - F.col("mean_c")) / pooled).otherwise(F.lit(0.0))
@@ -174,12 +175,12 @@ def feature_drift(reference: DataFrame, current: DataFrame, cols: Sequence[str])
     c = unpivot(current, cols).select("feature", "value", F.lit(0).alias("_r"), F.lit(1).alias("_c"))
     both = r.unionByName(c).where(F.col("value").isNotNull())
     cc = cumulative_counts(both, "value", by=["feature"], weights={"r": F.col("_r"), "c": F.col("_c")})
-    gap = F.abs(F.col("cum_r") / F.col("tot_r") - F.col("cum_c") / F.col("tot_c"))
+    gap = F.abs(F.try_divide(F.col("cum_r"), F.col("tot_r")) - F.try_divide(F.col("cum_c"), F.col("tot_c")))
     d = cc.groupBy("feature").agg(F.max(gap).alias("ks_statistic"),
                                   F.first("tot_r").alias("n_ref"), F.first("tot_c").alias("n_cur"))
     means = both.groupBy("feature").agg(
-        (F.sum(F.col("value") * F.col("_r")) / F.sum("_r")).alias("reference_mean"),
-        (F.sum(F.col("value") * F.col("_c")) / F.sum("_c")).alias("current_mean"))
+        F.try_divide(F.sum(F.col("value") * F.col("_r")), F.sum("_r")).alias("reference_mean"),
+        F.try_divide(F.sum(F.col("value") * F.col("_c")), F.sum("_c")).alias("current_mean"))
     shift = F.when(F.col("reference_mean") != 0,
                    F.lit(100.0) * (F.col("current_mean") - F.col("reference_mean")) / F.col("reference_mean")) \
         .otherwise(F.lit(0.0))
@@ -205,7 +206,7 @@ def auc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFr
     w = {"wp": pos, "wn": F.lit(1) - pos}
     cc = cumulative_counts(df.where(F.col(score).isNotNull()), score, by=by, weights=w)
     contrib = F.col("wp") * ((F.col("cum_wn") - F.col("wn")) + F.col("wn") / 2.0)
-    out = cc.groupBy(*by).agg((F.sum(contrib) / (F.first("tot_wp") * F.first("tot_wn"))).alias("roc_auc"),
+    out = cc.groupBy(*by).agg(F.try_divide(F.sum(contrib), F.first("tot_wp") * F.first("tot_wn")).alias("roc_auc"),
                               F.first("tot_wp").alias("n_pos"), F.first("tot_wn").alias("n_neg"))
     return out
 
@@ -285,4 +286,7 @@ def weighted_ovr_auc(df: DataFrame, label: str, classes: Sequence[str], prob_col
     cls = F.element_at(F.array(*[F.lit(c) for c in classes]), F.col("_i") + 1)
     ex = ex.withColumn("cls", cls).withColumn("_pos", (F.col("_y") == F.col("cls")).cast("int"))
     per = auc(ex, "_pos", "_p", by=["cls"])
-    return per.agg((F.sum(F.col("roc_auc") * F.col("n_pos")) / F.sum("n_pos")).alias("roc_auc_ovr_weighted"))
+    # a class without positives or negatives has no AUC; the rest are weighted by support
+    ok = per.where(F.col("roc_auc").isNotNull())
+    return ok.agg(F.coalesce(F.try_divide(F.sum(F.col("roc_auc") * F.col("n_pos")), F.sum("n_pos")), F.lit(0.0))
+                  .alias("roc_auc_ovr_weighted"))
