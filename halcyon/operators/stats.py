@@ -290,3 +290,22 @@ def weighted_ovr_auc(df: DataFrame, label: str, classes: Sequence[str], prob_col
     ok = per.where(F.col("roc_auc").isNotNull())
     return ok.agg(F.coalesce(F.try_divide(F.sum(F.col("roc_auc") * F.col("n_pos")), F.sum("n_pos")), F.lit(0.0))
                   .alias("roc_auc_ovr_weighted"))
+
+
+def monitor_summary(scored: DataFrame, drift: DataFrame, processing_ms: float | None = None,
+                    anomaly: str = "is_anomaly") -> DataFrame:
+    """requests, anomalies, rate % (2 dp), average ms per request (2 dp) and
+    the drift message (T8).  ``drift`` has one row per feature, so the list of
+    drifted names is bounded by the feature count."""
+    s = scored.agg(F.count(F.lit(1)).alias("request_count"),
+                   F.sum(F.col(anomaly).cast("long")).alias("anomaly_count"))
+    names = drift.where(F.col("drift_detected")).agg(
+        F.array_join(F.array_sort(F.collect_list("feature")), ", ").alias("_d")).first()["_d"]
+    msg = f"Data drift detected in features: {names}" if names else "No drift detected."
+    rate = F.when(F.col("request_count") > 0,
+                  F.round(F.lit(100.0) * F.col("anomaly_count") / F.col("request_count"), 2)).otherwise(F.lit(0.0))
+    avg = F.lit(None).cast("double") if processing_ms is None else \
+        F.when(F.col("request_count") > 0, F.round(F.lit(float(processing_ms)) / F.col("request_count"), 2)) \
+         .otherwise(F.lit(0.0))
+    return s.select("request_count", F.coalesce("anomaly_count", F.lit(0)).alias("anomaly_count"),
+                    rate.alias("anomaly_rate"), avg.alias("avg_processing_ms"), F.lit(msg).alias("drift_status"))

@@ -389,3 +389,20 @@ SELECT count(*) AS n_claims, round(100.0 * avg(CASE WHEN approved = 1 THEN 1 ELS
        round(avg(charges), 2) AS avg_cost FROM tgt""")
 def q_kpi_row(spark, sf_dir):
     return A.kpi_row(_features(spark, sf_dir))
+
+
+@register("enriched_claims", with_claims(_CAT_SQL, _icd_values_sql()) + """
+SELECT c.claim_key, c.age, c.sex, c.bmi, c.children, c.smoker, c.region, c.charges, c.clinical_note, c.icd_code,
+       coalesce(d.icd_description, 'Unknown') AS icd_description, c.patient_category
+FROM cat c LEFT JOIN icd_dim d ON c.icd_code = d.icd_code""")
+def q_enriched_claims(spark, sf_dir):
+    """Build the enriched table (notes, code description, category),
+    write it to the shared folder, and continue from the written table."""
+    from halcyon.session import scratch_path
+    from halcyon.sources.files import read_or_build
+
+    def build():
+        c = claims(spark, sf_dir).withColumn("patient_category", E.patient_category())
+        return A.icd_describe(c)
+    t = read_or_build(spark, scratch_path(spark, "enriched-claims"), build)
+    return t.select("claim_key", *RAW_COLUMNS, "clinical_note", "icd_code", "icd_description", "patient_category")

@@ -53,11 +53,17 @@ def q_scoring_metrics(spark, sf_dir):
 @register("score_claims_stream")
 def q_score_stream(spark, sf_dir):
     """The same scoring over a file stream of arriving claims."""
-    path, schema = landed_claims(spark, sf_dir)
-    sink = J.score_stream(spark, scorer(spark, sf_dir), path, schema)
+    sink, _ = scored_stream(spark, sf_dir)
     return spark.read.parquet(sink)
 
 
+def scored_stream(spark, sf_dir):
+    def build():
+        path, schema = landed_claims(spark, sf_dir)
+        return J.score_stream(spark, scorer(spark, sf_dir), path, schema)
+    return MQ._memo(spark, sf_dir, "scored-stream", build)
+
+
 @register("scoring_metrics_stream")
 def q_metrics_stream(spark, sf_dir):
     """X3 (stream): metrics per 30-day event-time window with a watermark."""
@@ -77,3 +83,18 @@ def q_stream_drift(spark, sf_dir):
     """KS drift of each micro-batch of claims against the full claims table."""
     path, schema = landed_claims(spark, sf_dir)
     return J.drift_stream(spark, claims(spark, sf_dir), path, schema, ["age", "bmi", "children", "charges"])
+
+
+@register("monitor_summary")
+def q_monitor_summary(spark, sf_dir):
+    """Requests, anomalies, rate, average ms per request (from the stream's
+    progress reports) and the drift message of the newest claims (claims of
+    the last year vs all earlier ones)."""
+    from halcyon.operators.stats import drift_report, feature_drift, monitor_summary
+    sink, total_ms = scored_stream(spark, sf_dir)
+    log = spark.read.parquet(sink).select(F.col("anomaly_detection.is_anomaly").alias("is_anomaly"))
+    c = claims(spark, sf_dir)
+    cut = c.agg(F.max("claim_ts")).first()[0]
+    recent = F.col("claim_ts") > F.lit(cut).cast("timestamp_ntz") - F.expr("INTERVAL 365 DAYS")
+    drift = drift_report(feature_drift(c.where(~recent), c.where(recent), ["age", "bmi", "children", "charges"]))
+    return monitor_summary(log, drift, total_ms)

@@ -117,3 +117,12 @@ def test_class_report(spark):
     assert rep["c"]["f1"] == 0.0
     s = T.class_summary(T.class_report(df, "y", "p")).first()
     assert s["accuracy"] == pytest.approx(3 / 5)
+
+
+def test_approx_quantiles_close(skewed):
+    df, vals, _ = skewed
+    got = K.quantiles(df, "v", [0.5, 0.9], exact=False).first()
+    n = len(vals)
+    for q, name in ((0.5, "q50"), (0.9, "q90")):
+        rank = (vals <= got[name]).sum()
+        assert abs(rank - q * n) <= 0.01 * n + 1000  # a third of the rows share one value
