@@ -13,12 +13,12 @@ from dataclasses import dataclass, field
 from pyspark import StorageLevel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from halcyon.operators.features import FEATURES
-from halcyon.operators.modeling import SEED, coefficients_table, fold_column, hash_split
+from halcyon.operators.modeling import SEED, coefficients_table, fold_column, hash_split, parallel_cv
 from halcyon.operators.ranks import global_quantiles
 from halcyon.operators.stats import regression_metrics
 
@@ -59,31 +59,23 @@ def _label_stats(df: DataFrame) -> tuple[float, float]:
     return float(r["s"] or 1.0), float(r["n"])
 
 
-def _cv(est, grid, folds: int, parallelism: int) -> CrossValidator:
-    return CrossValidator(estimator=est, estimatorParamMaps=grid, numFolds=folds, foldCol="fold",
-                          evaluator=RegressionEvaluator(labelCol=LABEL, metricName="r2"),
-                          parallelism=parallelism, seed=SEED)
+def _r2() -> RegressionEvaluator:
+    return RegressionEvaluator(labelCol=LABEL, metricName="r2")
 
 
-def compare_regressors(train: DataFrame, folds: int = 5, parallelism: int = 8) -> DataFrame:
+def compare_regressors(train: DataFrame, folds: int = 5, parallelism: int = 4) -> DataFrame:
     """5-fold CV R^2 (mean, std) per candidate (M3) -> one row per model.
 
-    The candidates' cross-validations are independent Spark jobs, so they
-    are submitted concurrently from driver threads (as ``CrossValidator``
-    does for param maps); the data is cached once for all of them."""
-    from concurrent.futures import ThreadPoolExecutor
+    The folds of a candidate are independent Spark jobs submitted
+    concurrently (at most ``parallelism`` fits hold driver memory at once);
+    the data is cached once for all candidates."""
     std, n = _label_stats(train)
     n_fit = n * (folds - 1) / folds
     data = fold_column(train, ["claim_key"], folds).persist(StorageLevel.MEMORY_AND_DISK)
-    cands = candidates(std, n_fit)
-
-    def run(item):
-        name, est = item
-        m = _cv(est, ParamGridBuilder().build(), folds, max(1, parallelism // len(cands))).fit(data)
-        return name, float(m.avgMetrics[0]), float(m.stdMetrics[0]) if m.stdMetrics else None
-
-    with ThreadPoolExecutor(max_workers=len(cands)) as pool:
-        rows = list(pool.map(run, cands.items()))
+    rows = []
+    for name, est in candidates(std, n_fit).items():
+        mean, sd = parallel_cv(est, [], data, _r2(), folds, parallelism)
+        rows.append((name, float(mean[0]), float(sd[0])))
     data.unpersist()
     return train.sparkSession.createDataFrame(rows, "model_name string, cv_r2_mean double, cv_r2_std double")
 
@@ -126,7 +118,7 @@ def cost_tier_thresholds(df: DataFrame, col: str = "charges") -> dict:
     return global_quantiles(df, col, [0.25, 0.5, 0.75, 0.9])
 
 
-def fit_cost(matrix: DataFrame, folds: int = 5, tune_folds: int = 3, parallelism: int = 8) -> CostModel:
+def fit_cost(matrix: DataFrame, folds: int = 5, tune_folds: int = 3, parallelism: int = 4) -> CostModel:
     """M3-M6 end to end on rows with (claim_key, features, log_charges, charges)."""
     data = matrix.select("claim_key", "features", LABEL, "charges").persist(StorageLevel.MEMORY_AND_DISK)
     tiers = cost_tier_thresholds(data)
@@ -137,19 +129,23 @@ def fit_cost(matrix: DataFrame, folds: int = 5, tune_folds: int = 3, parallelism
     est = candidates(std, n * (tune_folds - 1) / tune_folds)[best["model_name"]]
     grid = param_grid(best["model_name"], est, std, n * (tune_folds - 1) / tune_folds)
     tune_data = fold_column(train, ["claim_key"], tune_folds).persist(StorageLevel.MEMORY_AND_DISK)
-    tuned = _cv(est, grid, tune_folds, parallelism).fit(tune_data)
+    means, _ = parallel_cv(est, grid, tune_data, _r2(), tune_folds, parallelism)
     tune_data.unpersist()
-    best_params = tuned.getEstimatorParamMaps()[int(max(range(len(tuned.avgMetrics)),
-                                                        key=lambda i: tuned.avgMetrics[i]))]
-    holdout = tuned.bestModel.transform(test).withColumn("_pred_raw", F.expm1("prediction"))
-    ev = regression_metrics(holdout, "charges", "_pred_raw").first().asDict()
-    # refit the tuned estimator on every row; Ridge keeps alpha, so regParam follows n
+    best_params = grid[max(range(len(means)), key=lambda i: means[i])]
+    # the tuned model on the training split (for the hold-out numbers) and the
+    # refit on every row are independent: fit both at once
     final_est = est.copy(best_params)
     if best["model_name"] == "Ridge":
         s_all, n_all = _label_stats(data)
         alpha = best_params[est.regParam] * (n * (tune_folds - 1) / tune_folds) / std
         final_est = final_est.setRegParam(alpha * s_all / n_all)
-    final = final_est.fit(data)
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        f_train = pool.submit(est.fit, train, best_params)
+        f_all = pool.submit(final_est.fit, data)
+        tuned_model, final = f_train.result(), f_all.result()
+    holdout = tuned_model.transform(test).withColumn("_pred_raw", F.expm1("prediction"))
+    ev = regression_metrics(holdout, "charges", "_pred_raw").first().asDict()
     evaluation = {"model_name": best["model_name"], "mae": ev["mae"], "rmse": ev["rmse"], "r2": ev["r2"],
                   "cv_r2_mean": best["cv_r2_mean"], "cv_r2_std": best["cv_r2_std"]}
     data.unpersist()

@@ -33,12 +33,26 @@ def fold_column(df: DataFrame, key_cols: Sequence[str], k: int, seed: int = SEED
     return df.withColumn(out, F.floor(hash_unit(key_cols, seed, salt=7) * k).cast("int"))
 
 
+ROWS_PER_PARTITION = 100_000
+
+
+def size_partitions(df: DataFrame, n_rows: int | None = None,
+                    rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
+    """Repartition a model-training input to ~``rows_per_partition`` rows per
+    partition.  Iterative learners launch several jobs per iteration, so
+    partitions far smaller than this only add task overhead, and far larger
+    ones risk spills; the count comes from a cheap aggregate."""
+    n = n_rows if n_rows is not None else df.count()
+    return df.repartition(max(1, -(-n // rows_per_partition)))
+
+
 def model_matrix(claims: DataFrame, pre: Preprocessor | None = None) -> tuple[DataFrame, Preprocessor]:
     """Fit (or reuse) the preprocessor and return rows with ``features``
-    (scaled, 22 dims), ``log_charges``, ``charges`` and the targets."""
+    (scaled, 22 dims), ``log_charges``, ``charges`` and the targets, in
+    partitions sized for iterative model fitting."""
     pre = pre or Preprocessor.fit(claims)
     out = assemble(pre.transform(claims), FEATURES)
-    return out, pre
+    return size_partitions(out), pre
 
 
 def coefficients_table(spark, names: Sequence[str], values: Sequence[float], top: int = 15) -> DataFrame:
@@ -47,3 +61,28 @@ def coefficients_table(spark, names: Sequence[str], values: Sequence[float], top
     rows = [(n, float(abs(v))) for n, v in zip(names, values)]
     df = spark.createDataFrame(rows, "feature string, importance double")
     return df.orderBy(F.desc("importance"), F.asc("feature")).limit(top)
+
+
+def parallel_cv(est, grid: list, data: DataFrame, evaluator, folds: int, parallelism: int = 8,
+                fold_col: str = "fold") -> tuple[list, list]:
+    """k-fold cross-validation with every (param map, fold) fit submitted
+    concurrently (``CrossValidator`` parallelises maps but runs folds one by
+    one).  ``data`` carries a deterministic fold column and should be cached.
+    Returns (mean metric, population std) per param map."""
+    import statistics as st
+    from concurrent.futures import ThreadPoolExecutor
+
+    grid = grid or [{}]
+
+    def run(job):
+        i, f = job
+        train = data.where(F.col(fold_col) != f)
+        valid = data.where(F.col(fold_col) == f)
+        model = est.fit(train, grid[i])
+        return i, evaluator.evaluate(model.transform(valid))
+
+    jobs = [(i, f) for i in range(len(grid)) for f in range(folds)]
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(jobs)))) as pool:
+        results = list(pool.map(run, jobs))
+    per = [[m for i, m in results if i == k] for k in range(len(grid))]
+    return [st.fmean(v) for v in per], [st.pstdev(v) for v in per]

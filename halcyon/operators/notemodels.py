@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from halcyon.functions.notes import clean_note
 from halcyon.operators.analytics import icd_describe
-from halcyon.operators.modeling import SEED, hash_split
+from halcyon.operators.modeling import SEED, hash_split, size_partitions
 from halcyon.operators.stats import class_report, class_summary, weighted_ovr_auc
 from halcyon.operators.text import english_stop_words, tokens, with_bigrams
 
@@ -86,7 +86,7 @@ def fit_icd(notes: DataFrame, text: str = "clinical_note", label: str = "icd_cod
     """TF-IDF (1-2 grams, top 3,000) + multinomial logistic regression with
     C = 1 (regParam = 1 / (C * n)), stratified 80/20 by key hash (N12).
     Returns the model and the hold-out rows with predictions."""
-    data = with_terms(notes.select(key, text, label), text).persist(StorageLevel.MEMORY_AND_DISK)
+    data = size_partitions(with_terms(notes.select(key, text, label), text)).persist(StorageLevel.MEMORY_AND_DISK)
     train, test = hash_split(data, [key])
     n = train.count()
     tf = fit_tfidf_stages(train, "terms", max_terms)
@@ -155,7 +155,7 @@ def fit_topics(notes: DataFrame, text: str = "clinical_note", k: int = 5, max_te
                max_iter: int = 20) -> TopicModel:
     """LDA with k topics (seed 42, online optimiser) on the TF-IDF of the
     cleaned notes (N9); topic labels from the top-10 terms (N10)."""
-    data = with_terms(notes.select(text), text, clean=True).persist(StorageLevel.MEMORY_AND_DISK)
+    data = size_partitions(with_terms(notes.select(text), text, clean=True)).persist(StorageLevel.MEMORY_AND_DISK)
     tf = fit_tfidf_stages(data, "terms", max_terms)
     vec = tf.transform(data)
     lda = LDA(k=k, seed=SEED, featuresCol="tfidf", optimizer="online", maxIter=max_iter).fit(vec)
