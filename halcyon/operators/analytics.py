@@ -51,9 +51,11 @@ def icd_describe(df: DataFrame, code: str = "icd_code") -> DataFrame:
 
 
 def share_by(df: DataFrame, key: str, pct_digits: int = 2) -> DataFrame:
-    """count and percentage share per key."""
+    """count and percentage share per key (A1, A7, A13).  The total is a
+    scalar subquery over the aggregated rows (evaluated once, no
+    single-partition window), so any key cardinality is fine."""
     g = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    tot = F.sum("n").over(Window.partitionBy(F.lit(1)))
+    tot = g.agg(F.sum("n")).scalar()
     return g.withColumn("pct", F.round(F.lit(100.0) * F.col("n") / tot, pct_digits))
 
 

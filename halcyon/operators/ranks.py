@@ -50,10 +50,12 @@ def cumulative_counts(df: DataFrame, value: str, by: Sequence[str] = (),
         keyed = counts.join(cuts, by, "inner")
         keyed = keyed.withColumn("_b", _bucket_of(F.col(value), F.col("_cuts"))).drop("_cuts")
     else:
-        row = counts.agg(F.percentile_approx(F.col(value).cast("double"), fracs, 10000).alias("c")).first()
-        cut_list = sorted(set(x for x in (row["c"] or []) if x is not None))
-        lit_cuts = F.array(*[F.lit(float(x)) for x in cut_list]) if cut_list else F.array().cast("array<double>")
-        keyed = counts.withColumn("_b", _bucket_of(F.col(value), lit_cuts))
+        # one array of cut points as a scalar subquery: evaluated once, and the
+        # plan stays lazy (no job at plan-build time)
+        cuts = counts.agg(F.coalesce(F.percentile_approx(F.col(value).cast("double"), fracs, 10000),
+                                     F.array().cast("array<double>"))).scalar()
+        keyed = counts.withColumn("_cuts", cuts) \
+            .withColumn("_b", _bucket_of(F.col(value), F.col("_cuts"))).drop("_cuts")
     totals = keyed.groupBy(*by, "_b").agg(*[F.sum(n).alias(f"_bt_{n}") for n in wn])
     wg = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     wprev = wg.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
