@@ -281,3 +281,14 @@ def q_model_io(spark, sf_dir):
     model2 = PipelineModel.load(mpath)
     rows = assemble(pre2.transform(claims(spark, sf_dir)), FEATURES)
     return model2.transform(rows).select("claim_key", F.round(F.expm1("prediction"), 2).alias("predicted_cost"))
+
+
+@register("holdout_split")
+def q_holdout_split(spark, sf_dir):
+    """M1/M2: rows and approval share per side of the key-hash 80/20 split
+    (the split every model uses; the class share is preserved in expectation)."""
+    from halcyon.operators.modeling import hash_unit
+    m = matrix(spark, sf_dir)[0]
+    side = F.when(hash_unit(["claim_key"]) < 0.2, F.lit("test")).otherwise(F.lit("train"))
+    return m.groupBy(side.alias("split")).agg(F.count(F.lit(1)).alias("n"),
+                                              F.avg("approved").alias("approved_share"))

@@ -60,3 +60,10 @@ def test_summary(spark):
 def test_summary_without_entities(spark):
     df = spark.createDataFrame([("Nothing notable.",)], "n string")
     assert df.select(N.entities("n").alias("e")).first()["e"]["clinical_summary"] == "Patient."
+
+
+def test_stop_words_match_spark(spark):
+    from pyspark.ml.feature import StopWordsRemover
+
+    from halcyon.operators.text import english_stop_words
+    assert english_stop_words() == list(StopWordsRemover.loadDefaultStopWords("english"))
