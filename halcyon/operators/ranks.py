@@ -23,6 +23,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from halcyon.session import cut_lineage
+
 DEFAULT_BUCKETS = 64
 
 
@@ -33,16 +35,22 @@ def _bucket_of(value: Column, cuts: Column) -> Column:
 
 def cumulative_counts(df: DataFrame, value: str, by: Sequence[str] = (),
                       weights: Mapping[str, Column] | None = None,
-                      buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                      buckets: int = DEFAULT_BUCKETS, materialize: bool = True) -> DataFrame:
     """Per (by..., value): the weight of the value, the running weight of all
     values <= it (``cum_<w>``) and the group total (``tot_<w>``).
 
     ``weights`` maps output names to numeric columns; default ``{"n": 1}``.
+    ``materialize=False`` keeps the plan fully lazy (e.g. inside a stream).
     """
     by = list(by)
     weights = dict(weights or {"n": F.lit(1)})
     wn = list(weights)
     counts = df.groupBy(*by, value).agg(*[F.sum(c).alias(n) for n, c in weights.items()])
+    if materialize:
+        # the cut-point, bucket-total and running-sum passes all read the
+        # compact count table: write it once (reliable checkpoint in the
+        # shared folder) instead of re-running the upstream plan three times
+        counts = cut_lineage(counts)
     fracs = [i / buckets for i in range(1, buckets)]
     if by:
         cuts = counts.groupBy(*by).agg(

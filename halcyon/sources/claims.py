@@ -3,7 +3,7 @@
 The test tables hold no insurance claims, so one claim per order is derived
 from ``orders JOIN customer`` by integer arithmetic (k = o_orderkey,
 u = o_custkey).  The rules are deterministic, so the same rows can be rebuilt
-by any SQL engine (see ``halcyon.plans.oracle.CLAIMS_CTE``).
+by any SQL engine (see ``halcyon.plans.sqlviews``).
 
 Scale notes: only five columns of ``orders`` and two of ``customer`` are read
 (column pruning reaches the parquet scan); the join is a plain equi-join on
@@ -103,14 +103,34 @@ def derive_claims(joined: DataFrame) -> DataFrame:
     )
 
 
-def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One claim per order: the default input of every claims operator."""
+def claims_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lazy derivation (orders JOIN customer + rules)."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet") \
         .select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey")
     return derive_claims(o.join(c, o.o_custkey == c.c_custkey, "inner"))
 
 
+_WRITTEN: dict = {}
+
+
+def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One claim per order: the default input of every claims operator.
+
+    Derived once per application and written as parquet to the shared folder;
+    every query then scans that table (column pruning and filter pushdown
+    apply) instead of repeating the join — the shape a production claims
+    table has anyway.
+    """
+    from halcyon.session import scratch_path
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _WRITTEN:
+        path = scratch_path(spark, "claims")
+        claims_view(spark, sf_dir).write.mode("overwrite").parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(_WRITTEN[key])
+
+
 RAW_COLUMNS = ["age", "sex", "bmi", "children", "smoker", "region", "charges"]
 
 
