@@ -42,8 +42,11 @@ DEFAULT_TOPIC = "General Medicine"
 
 
 def with_terms(df: DataFrame, text: str, out: str = "terms", clean: bool = False) -> DataFrame:
+    """Token + bigram array column; tokens are projected once (the optimizer
+    keeps a multiply-referenced regex projection instead of inlining it)."""
     src = clean_note(text) if clean else F.col(text)
-    return df.withColumn(out, with_bigrams(tokens(src, english_stop_words())))
+    return df.withColumn("_tok", tokens(src, english_stop_words())) \
+        .withColumn(out, with_bigrams(F.col("_tok"))).drop("_tok")
 
 
 def fit_tfidf_stages(df: DataFrame, terms: str = "terms", max_terms: int = 5000,

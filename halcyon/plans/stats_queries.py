@@ -321,8 +321,7 @@ WITH tok AS (
 
 def _tfidf(spark, sf_dir, max_terms=5000):
     docs = _tbl(spark, sf_dir, "documents", "doc_id", "text")
-    model = X.fit_tfidf(docs, "doc_id", "text", max_terms=max_terms)
-    return model.transform(docs)
+    return X.fit_transform_tfidf(docs, "doc_id", "text", max_terms=max_terms)[1]
 
 
 @register("tfidf", _tfidf_sql() + "SELECT doc_id, term, CAST(tf AS BIGINT) AS tf, round(weight, 6) AS weight FROM weights")

@@ -126,7 +126,9 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _WRITTEN:
         path = scratch_path(spark, "claims")
-        claims_view(spark, sf_dir).write.mode("overwrite").parquet(path)
+        n = spark.read.parquet(f"{sf_dir}/orders.parquet").count()   # parquet footer metadata
+        files = max(spark.sparkContext.defaultParallelism, -(-n // 2_000_000))
+        claims_view(spark, sf_dir).repartition(files).write.mode("overwrite").parquet(path)
         _WRITTEN[key] = path
     return spark.read.parquet(_WRITTEN[key])
 
