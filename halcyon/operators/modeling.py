@@ -33,17 +33,19 @@ def fold_column(df: DataFrame, key_cols: Sequence[str], k: int, seed: int = SEED
     return df.withColumn(out, F.floor(hash_unit(key_cols, seed, salt=7) * k).cast("int"))
 
 
-ROWS_PER_PARTITION = 100_000
+MIN_ROWS_PER_PARTITION = 10_000
+MAX_ROWS_PER_PARTITION = 1_000_000
 
 
-def size_partitions(df: DataFrame, n_rows: int | None = None,
-                    rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
-    """Repartition a model-training input to ~``rows_per_partition`` rows per
-    partition.  Iterative learners launch several jobs per iteration, so
-    partitions far smaller than this only add task overhead, and far larger
-    ones risk spills; the count comes from a cheap aggregate."""
+def size_partitions(df: DataFrame, n_rows: int | None = None) -> DataFrame:
+    """Repartition a model input: every core busy once each partition still
+    holds >= 10k rows (iterative learners launch several jobs per iteration,
+    so tinier partitions only add task overhead), and never more than 1M rows
+    per partition (bounded memory per task at scale)."""
     n = n_rows if n_rows is not None else df.count()
-    return df.repartition(max(1, -(-n // rows_per_partition)))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = max(-(-n // MAX_ROWS_PER_PARTITION), min(cores, -(-n // MIN_ROWS_PER_PARTITION)), 1)
+    return df.repartition(parts)
 
 
 def model_matrix(claims: DataFrame, pre: Preprocessor | None = None) -> tuple[DataFrame, Preprocessor]:

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from halcyon.functions import notes as N
 from halcyon.operators import analytics as A
-from halcyon.operators import features as P
 from halcyon.operators import ranks as K
 from halcyon.operators import segments as S
 from halcyon.operators import stats as T
