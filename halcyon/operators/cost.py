@@ -129,7 +129,9 @@ def fit_cost(matrix: DataFrame, folds: int = 5, tune_folds: int = 3, parallelism
     est = candidates(std, n * (tune_folds - 1) / tune_folds)[best["model_name"]]
     grid = param_grid(best["model_name"], est, std, n * (tune_folds - 1) / tune_folds)
     tune_data = fold_column(train, ["claim_key"], tune_folds).persist(StorageLevel.MEMORY_AND_DISK)
-    means, _ = parallel_cv(est, grid, tune_data, _r2(), tune_folds, parallelism)
+    # boosted trees / ridge hold little driver memory per fit: run twice as many at once
+    tune_par = parallelism if best["model_name"] == "RandomForest" else parallelism * 2
+    means, _ = parallel_cv(est, grid, tune_data, _r2(), tune_folds, tune_par)
     tune_data.unpersist()
     best_params = grid[max(range(len(means)), key=lambda i: means[i])]
     # the tuned model on the training split (for the hold-out numbers) and the
