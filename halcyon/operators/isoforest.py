@@ -138,7 +138,13 @@ class IsolationForest:
         return score
 
     def raw_score(self, df: DataFrame, features: str = "features") -> DataFrame:
-        """anomaly score s in (0, 1]; higher = more isolated."""
+        """anomaly score s in (0, 1]; higher = more isolated.  The Arrow walk is
+        CPU-bound Python, so an input with fewer partitions than cores is spread
+        first (batch only; a stream keeps its micro-batch partitioning)."""
+        if not df.isStreaming:
+            cores = df.sparkSession.sparkContext.defaultParallelism
+            if df.rdd.getNumPartitions() < cores:
+                df = df.repartition(cores)
         return df.withColumn("_s", self._path_udf()(_as_array(features)))
 
     def decision(self, df: DataFrame, features: str = "features") -> DataFrame:

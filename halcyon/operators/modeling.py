@@ -33,13 +33,13 @@ def fold_column(df: DataFrame, key_cols: Sequence[str], k: int, seed: int = SEED
     return df.withColumn(out, F.floor(hash_unit(key_cols, seed, salt=7) * k).cast("int"))
 
 
-MIN_ROWS_PER_PARTITION = 10_000
+MIN_ROWS_PER_PARTITION = 50_000
 MAX_ROWS_PER_PARTITION = 1_000_000
 
 
 def size_partitions(df: DataFrame, n_rows: int | None = None) -> DataFrame:
     """Repartition a model input: every core busy once each partition still
-    holds >= 10k rows (iterative learners launch several jobs per iteration,
+    holds >= 50k rows (iterative learners launch several jobs per iteration,
     so tinier partitions only add task overhead), and never more than 1M rows
     per partition (bounded memory per task at scale)."""
     n = n_rows if n_rows is not None else df.count()
