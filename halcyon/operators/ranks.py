@@ -140,5 +140,5 @@ def percentile_rank(reference: DataFrame, scored: DataFrame, value: str,
     both = reference.select(F.col(value).alias("_v"), F.lit(1).alias("_r")) \
         .unionByName(scored.select(F.col(value).alias("_v"), F.lit(0).alias("_r")))
     cc = cumulative_counts(both.where(F.col("_v").isNotNull()), "_v", weights={"r": F.col("_r")})
-    ranks = cc.select(F.col("_v"), F.round(F.lit(100.0) * F.col("cum_r") / F.col("tot_r"), 1).alias(out))
+    ranks = cc.select(F.col("_v"), F.round(F.try_divide(F.lit(100.0) * F.col("cum_r"), F.col("tot_r")), 1).alias(out))
     return scored.join(ranks, scored[value] == ranks["_v"], "left").drop("_v")

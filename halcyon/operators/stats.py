@@ -106,7 +106,8 @@ def ab_test(df: DataFrame, variant: str, metric: str, control: str, treatment: s
           for n, f in (("n", F.count), ("mean", F.avg), ("var", F.var_samp))])
     nc, nt = F.col("n_c").cast("double"), F.col("n_t").cast("double")
     sp2 = F.try_divide((nc - 1) * F.col("var_c") + (nt - 1) * F.col("var_t"), nc + nt - 2)
-    t = (F.col("mean_c") - F.col("mean_t")) / F.sqrt(sp2 * (F.lit(1.0) / nc + F.lit(1.0) / nt))
+    t = F.try_divide(F.col("mean_c") - F.col("mean_t"),
+                     F.sqrt(sp2 * (F.try_divide(F.lit(1.0), nc) + F.try_divide(F.lit(1.0), nt))))
     pooled = F.sqrt((F.col("var_c") + F.col("var_t")) / 2)
     d = F.when(pooled > 0, (F.col("mean_t") - F.col("mean_c")) / pooled).otherwise(F.lit(0.0))
     return arms.select(*keys, F.lit(control).alias("control_name"), F.lit(treatment).alias("treatment_name"),
@@ -276,7 +277,7 @@ def regression_metrics(df: DataFrame, y: str, yhat: str) -> DataFrame:
     e = F.col(y) - F.col(yhat)
     a = df.agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
                F.sum(e * e).alias("_sse"), F.var_pop(y).alias("_vy"), F.count(F.lit(1)).alias("n"))
-    return a.select("mae", "rmse", (F.lit(1.0) - F.col("_sse") / (F.col("_vy") * F.col("n"))).alias("r2"), "n")
+    return a.select("mae", "rmse", (F.lit(1.0) - F.try_divide(F.col("_sse"), F.col("_vy") * F.col("n"))).alias("r2"), "n")
 
 
 def weighted_ovr_auc(df: DataFrame, label: str, classes: Sequence[str], prob_col: str) -> DataFrame:
