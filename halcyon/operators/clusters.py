@@ -77,12 +77,18 @@ def silhouette_sq(assigned: DataFrame, features: str = "features") -> float:
 
 def sweep_k(data: DataFrame, ks=range(2, 9), n_init: int = 10, key: str = "claim_key") -> DataFrame:
     """inertia and sampled silhouette per K (M13); data cached once."""
+    from concurrent.futures import ThreadPoolExecutor
     cached = data.select(key, "features").persist(StorageLevel.MEMORY_AND_DISK)
-    rows = []
-    for k in ks:
+
+    def run(k):
         m = fit_kmeans(cached, k, n_init)
         sil = silhouette(m.transform(cached), key).first()["silhouette"]
-        rows.append((int(k), float(m.summary.trainingCost), float(sil)))
+        return int(k), float(m.summary.trainingCost), float(sil)
+
+    # two K values at a time, each with its concurrent restarts (k-means fits
+    # hold only K centres on the driver)
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        rows = list(pool.map(run, ks))
     cached.unpersist()
     out = data.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
     best = max(rows, key=lambda r: r[2])[0]
