@@ -1,3 +1,3 @@
 """Import every operator module so that its query registers."""
 
-from halcyon.llm import sharding  # noqa: F401
+from halcyon.llm import mixing, sharding  # noqa: F401
