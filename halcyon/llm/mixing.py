@@ -138,11 +138,11 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
 
     def cut(a, b):
-        return F.when(F.col(b) > F.col(a), F.struct(F.array_join(F.slice(words, (F.col(a) + 1).cast("int"), (F.col(b) - F.col(a)).cast("int")), " ").alias("t")))
+        part = F.slice(words, (F.col(a) + 1).cast("int"), (F.col(b) - F.col(a)).cast("int"))
+        return F.when(F.col(b) > F.col(a), F.array_join(part, " "))
 
-    copies = F.when(F.col("whole") > 0, F.array_repeat(F.struct(F.col("text").alias("t")), F.col("whole").cast("int")))
-    copies = F.concat(F.coalesce(copies, F.array().cast("array<struct<t:string>>")), F.array_compact(F.array(cut("a1", "b1"), cut("a2", "b2"))))
-    rows = rows.where("taken > 0").withColumn("piece", F.explode(copies)["t"])
+    whole = F.array_repeat(F.col("text"), F.col("whole").cast("int"))
+    rows = rows.where("taken > 0").withColumn("piece", F.explode(F.concat(whole, F.array_compact(F.array(cut("a1", "b1"), cut("a2", "b2"))))))
     out = {"doc_id": F.col("doc_id"), "text": F.col("piece"), "n_chars": F.length("piece").cast("long")}
     return rows.select(*[out.get(c, F.col(f"_{c}")).alias(c) for c in cols])
 
