@@ -1,3 +1,3 @@
 """Import every operator module so that its query registers."""
 
-from halcyon.llm import bpe, minhash, mixing, sharding  # noqa: F401
+from halcyon.llm import bpe, minhash, mixing, sharding, topk  # noqa: F401
