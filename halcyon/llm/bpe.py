@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -60,24 +61,35 @@ def words_of(text: Column) -> Column:
     return F.when(F.contains(text, F.lit(SPECIAL)), F.slice(cut, 2, F.size(cut))).otherwise(split(text))
 
 
+_ZSTD = pa.Codec("zstd", compression_level=9)
+
+
 def _dump(value) -> bytes:
     raw = pickle.dumps(value, protocol=5)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
 
 
 def _load(blob: bytes):
     blob = memoryview(blob)
-    return pickle.loads(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd"))
+    return pickle.loads(_ZSTD.decompress(blob[8:], int.from_bytes(blob[:8], "little")))
 
 
 def _planes(x: np.ndarray) -> list[np.ndarray]:
-    """The four byte planes of small numbers: they compress far better apart."""
-    b = np.ascontiguousarray(x.astype("<u4")).view(np.uint8).reshape(-1, 4)
-    return [np.ascontiguousarray(b[:, k]) for k in range(4)]
+    """Non-negative numbers as byte streams that compress well: a byte for those under 255,
+    the mark 255 and two bytes for those under 65,280 more, the mark twice and eight bytes for the rest."""
+    big = x[x >= 255].astype(np.int64) - 255
+    high = np.minimum(big >> 8, 255)
+    return [np.minimum(x, 255).astype(np.uint8), high.astype(np.uint8), (big[high < 255] & 255).astype(np.uint8), big[high == 255]]
 
 
 def _unplanes(planes: list[np.ndarray]) -> np.ndarray:
-    return np.stack(planes, axis=1).view("<u4").ravel().astype(np.int64)
+    small, high, low, rest = planes
+    big = high.astype(np.int64) << 8
+    big[high < 255] |= low
+    big[high == 255] = rest
+    out = small.astype(np.int64)
+    out[small == 255] = big + 255
+    return out
 
 
 def _text_hash(words: pa.Array) -> np.ndarray:
@@ -101,7 +113,8 @@ def _block(name: str, docs: list[pa.RecordBatch], buckets: int) -> Iterator[dict
     known = coded.dictionary.take(pa.array(order))
     yield {"block": name, "bucket": -1, "blob": _dump((ids.to_pylist(), lengths, _planes(number[at])))}
     bucket = (_text_hash(known) % np.uint64(buckets)).astype(np.int64)
-    by = np.argsort(bucket, kind="stable")
+    # in alphabetical order within a bucket: words and ids compress better
+    by = np.lexsort((pc.rank(known).to_numpy(), bucket)) if len(known) else bucket
     cuts = np.flatnonzero(np.diff(bucket[by])) + 1
     for mine in np.split(by, cuts) if len(by) else []:
         yield {"block": name, "bucket": int(bucket[mine[0]]), "blob": _dump((mine.astype(np.int32), known.take(pa.array(mine)).to_pylist()))}
