@@ -1,6 +1,6 @@
 """MinHash near-duplicates: fast similarity sketching, banding, exact verification.
 
-Sketch (``T`` = 128 coordinates).  In round i < T every shingle throws one
+Sketch (``T`` = 256 coordinates).  In round i < T every shingle throws one
 hashed value into one hashed bin; in round T + b every shingle throws into bin
 b.  A coordinate keeps the smallest (round, value), so rounds stop when every
 bin is filled and all are after 2T rounds at the latest.  Coordinates agree with
@@ -9,15 +9,18 @@ probability equal to the sets' Jaccard similarity, with concentration bounds.
 Links: documents with the same shingle set are one class with a representative
 (aggregates only).  Representatives meet where all ``ROWS`` coordinates of a
 band agree (32 bands of 4: a pair at 0.75 is missed with probability 5e-6).
-Pairs whose sizes or 1-bit sketches rule out 0.75 are dropped (the latter with
-error below 1e-8), the others are confirmed on their full shingle sets.
+Pairs are dropped whose sizes rule out 0.75, or whose sketches agree in fewer
+than ``AGREE`` of the 256 coordinates (4.5 deviations under what 0.75 gives); the
+others are confirmed on their full shingle sets.
 
 No bucket is expanded into all its pairs.  First each member is paired with its
-bucket's smallest member, and confirmed links are joined into components.  Then,
-in buckets that still hold several components, the members outside the bucket's
-largest component are paired with all members of other components.  Pairs
-within a component need no check, so the components are those of all the links
-among bucket mates.
+bucket's most central member (the one with most bucket mates overall), and
+confirmed links are joined into components.  Then, in buckets that still hold
+several components, the members outside the bucket's largest component are
+compared with all members of other components.  Pairs within a component need
+no check, and the Jaccard distance is a metric, so neither do pairs whose exact
+distances to their bucket's central member differ by more than the limit; the
+components are those of all the links among bucket mates.
 
 Defined results for odd input: no words or null text: size 0, linked with
 nothing; a null doc_id: no component, kept; rows that repeat a doc_id are the
@@ -37,16 +40,16 @@ from halcyon.llm.components import connected_components
 from halcyon.llm.words import groups, hashed, mix, shingle_set
 from halcyon.plans.registry import register
 
-T, ROWS = 128, 4
-BANDS = T // ROWS
+T, ROWS, BANDS = 256, 4, 32
 #: link if 100 * intersection >= SHARE * union
 SHARE = 75
-#: most of the 128 1-bit coordinates that a linked pair can differ in (mean 16, deviation 3.7)
-FAR = 40
+#: of the 256 coordinates (4 bits of each are kept) a pair at 0.75 agrees in 196, with a deviation of 6.8
+AGREE = 165
+TRAITS = [f"s{k}" for k in range(T // 16)]
 
 _U = np.uint64
 _SEEDS = mix(np.arange(1, 2 * T + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
-_LOW = _U((1 << 56) - 1)
+_LOW = _U((1 << 55) - 1)
 
 
 def sketch(items: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -57,8 +60,8 @@ def sketch(items: np.ndarray, starts: np.ndarray) -> np.ndarray:
     active = items
     for i in range(2 * T):
         h = mix(active ^ _SEEDS[i])
-        value = (_U(i) << _U(56)) | (h & _LOW)
-        bins = (h >> _U(57)).astype(np.int64) if i < T else i - T
+        value = (_U(i) << _U(55)) | (h & _LOW)
+        bins = (h >> _U(56)).astype(np.int64) if i < T else i - T
         np.minimum.at(out, owner * T + bins, value)
         if i % 4 == 3 or i < 4:
             open_sets = (out.reshape(n, T) == np.iinfo(np.uint64).max).any(axis=1)
@@ -72,8 +75,8 @@ def sketch(items: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 _SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()),
-                     ("bands", pa.list_(pa.int64())), ("bits_a", pa.int64()), ("bits_b", pa.int64())])
-_SKETCH_DDL = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, bits_a long, bits_b long"
+                     ("bands", pa.list_(pa.int64())), *[(c, pa.int64()) for c in TRAITS]])
+_SKETCH_DDL = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, " + ", ".join(f"{c} long" for c in TRAITS)
 _ROLE = mix(np.arange(1, T + 1, dtype=np.uint64)) | _U(1)
 
 
@@ -89,15 +92,17 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = np.array([len(s) for s in sets], dtype=np.int64)
             sums = np.array([[s.sum(dtype=np.uint64), mix(s ^ _SEEDS[0]).sum(dtype=np.uint64)] for s in sets], dtype=np.uint64)
             full = np.flatnonzero(size)
-            bands, bits = np.zeros((len(sets), BANDS), np.int64), np.zeros((len(sets), 2), np.int64)
+            bands, bits = np.zeros((len(sets), BANDS), np.int64), np.zeros((len(TRAITS), len(sets)), np.int64)
             if len(full):
                 s = sketch(np.concatenate([sets[k] for k in full]), np.concatenate([[0], np.cumsum(size[full])]))
-                bands[full] = mix((s * _ROLE).reshape(len(full), BANDS, ROWS).sum(axis=2, dtype=np.uint64)).view(np.int64)
-                bits[full] = np.packbits((s & _U(1)).astype(np.uint8), axis=1).view(np.int64)
+                banded = (s * _ROLE)[:, :BANDS * ROWS].reshape(len(full), BANDS, ROWS)
+                bands[full] = mix(banded.sum(axis=2, dtype=np.uint64)).view(np.int64)
+                nibbles = (s & _U(15)).astype(np.uint8)
+                bits[:, full] = (nibbles[:, ::2] | nibbles[:, 1::2] << 4).view(np.int64).T
             lists = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * BANDS, bands.ravel())
             sums = sums.view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), pa.array(size), pa.array(sums[:, 0]), pa.array(sums[:, 1]),
-                                              lists, pa.array(bits[:, 0]), pa.array(bits[:, 1])], schema=_SKETCH)
+                                              lists, *map(pa.array, bits)], schema=_SKETCH)
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,37 +111,43 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
 
 
-def _confirm(share: int):
-    def run(batches):
-        for b in batches:
-            keep = np.zeros(b.num_rows, dtype=bool)
-            for i, (x, y) in enumerate(zip(b.column(2), b.column(3))):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep[i] = 100 * common >= share * (len(x) + len(y) - common)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep))
-    return run
+def _similarity(batches):
+    for b in batches:
+        common, union = np.zeros(b.num_rows, dtype=np.int64), np.ones(b.num_rows, dtype=np.int64)
+        for i, (x, y) in enumerate(zip(b.column(2), b.column(3))):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            both = np.concatenate([x, y])
+            both.sort()
+            common[i] = (both[1:] == both[:-1]).sum()
+            union[i] = len(both) - common[i]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(common), pa.array(union)], names=["a", "b", "common", "either"])
 
 
-def _near(pairs: DataFrame, traits: DataFrame, share: int) -> DataFrame:
-    """The pairs (a, b) that sizes and 1-bit sketches allow to be linked."""
-    def of(side):
-        return traits.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("n_shingles", "bits_a", "bits_b")])
-    differ = (F.bit_count(F.col("a_bits_a").bitwiseXOR(F.col("b_bits_a"))) + F.bit_count(F.col("a_bits_b").bitwiseXOR(F.col("b_bits_b"))))
-    small, large = F.least("a_n_shingles", "b_n_shingles"), F.greatest("a_n_shingles", "b_n_shingles")
-    return pairs.join(of("a"), "a").join(of("b"), "b").where((100 * small >= share * large) & (differ <= FAR)).select("a", "b").distinct()
+def _close(x: str, y: str, share: int):
+    """What sizes and sketches allow for a linked pair."""
+    nibble = 0x1111111111111111
+    differ = F.lit(0)
+    for c in TRAITS:
+        z = F.col(f"{x}_{c}").bitwiseXOR(F.col(f"{y}_{c}"))
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 2))
+        differ = differ + F.bit_count(z.bitwiseAND(F.lit(nibble)))
+    small, large = F.least(f"{x}_n_shingles", f"{y}_n_shingles"), F.greatest(f"{x}_n_shingles", f"{y}_n_shingles")
+    return (100 * small >= share * large) & (differ <= T - AGREE)
 
 
-def _links(pairs: DataFrame, docs: DataFrame, share: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
+def _of(traits: DataFrame, side: str) -> DataFrame:
+    return traits.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("n_shingles", *TRAITS)])
+
+
+def _measured(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the sizes of the intersection and union of their full shingle sets."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = docs.join(nodes, docs["doc_id"] == nodes["node"], "left_semi")
     sets = staged(texts.select("doc_id", "text").mapInArrow(_full_sets, "node long, shingles binary"))
     both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b"))
-    return staged(both.select("a", "b", "x", "y").mapInArrow(_confirm(share), "a long, b long"))
+    return staged(both.select("a", "b", "x", "y").mapInArrow(_similarity, "a long, b long, common long, either long"))
 
 
 def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
@@ -145,29 +156,40 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
     all_docs = staged(docs.mapInArrow(_sketches, _SKETCH_DDL))
     full = all_docs.where("n_shingles > 0 AND doc_id IS NOT NULL")
     same = ["set_a", "set_b", "n_shingles"]
-    traits = ["bands", "bits_a", "bits_b"]
+    traits = ["bands", *TRAITS]
     classes = staged(full.groupBy(*same).agg(F.min("doc_id").alias("node"), *[F.any_value(c).alias(c) for c in traits]))
     members = staged(full.select("doc_id", *same).join(classes.select("node", *same), same).select("doc_id", "node"))
-    # a bucket's members against its smallest one
+    # a bucket's members against its most central one
     spots = classes.select(F.explode("bands").alias("bucket"), "node")
-    heads = spots.groupBy("bucket").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    heads = spots.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    spots = staged(spots.join(heads, "bucket"))
+    mates = spots.groupBy("node").agg(F.sum("n").alias("mates"))
+    heads = (spots.join(mates, "node").groupBy("bucket").agg(F.max(F.struct("mates", "node")).alias("head"))
+             .select("bucket", F.col("head.node").alias("head")))
+    high, low = F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")
     spots = staged(spots.join(heads, "bucket").select("bucket", "node", "head"))
-    pairs = spots.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
-    pairs = staged(_near(pairs, classes, share))
-    links = _links(pairs, docs, share)
+    pairs = spots.where("node <> head").select(high, low).distinct()
+    pairs = staged(pairs.join(_of(classes, "a"), "a").join(_of(classes, "b"), "b").where(_close("a", "b", share)).select("a", "b"))
+    measured = _measured(pairs, docs)
+    linked = 100 * F.col("common") >= share * F.col("either")
+    links = measured.where(linked).select("a", "b")
     found = staged(connected_components(links))
     # buckets that hold several components: what is outside the largest one against all others
-    spots = spots.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c"))
+    far = F.when(F.col("node") == F.col("head"), 0.0).otherwise(1 - F.col("common") / F.col("either"))
+    spots = (spots.select("*", high, low).join(measured, ["a", "b"], "left").join(found, "node", "left")
+             .select("bucket", "node", F.coalesce("component", "node").alias("c"), far.alias("far")))
     sizes = spots.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n"))
     mixed = (sizes.groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("most"), F.count(F.lit(1)).alias("k")).where("k > 1")
              .select("bucket", F.col("most.c").alias("main")))
     spots = staged(spots.join(mixed, "bucket"))
-    minor = spots.where("c <> main").select("bucket", F.col("node").alias("x"), "c")
-    other = spots.select("bucket", F.col("node").alias("y"), F.col("c").alias("d"), "main")
-    rest = (minor.join(other, "bucket").where("c <> d AND (d = main OR x < y)")
+    minor = spots.where("c <> main").select("bucket", F.col("node").alias("x"), "c", F.col("far").alias("x_far")).join(_of(classes, "x"), "x")
+    other = spots.select("bucket", F.col("node").alias("y"), F.col("c").alias("d"), "main", F.col("far").alias("y_far")).join(_of(classes, "y"), "y")
+    fresh = (F.col("c") != F.col("d")) & ((F.col("d") == F.col("main")) | (F.col("x") < F.col("y")))
+    apart = F.coalesce(F.abs(F.col("x_far") - F.col("y_far")) > 1 - share / 100 + 1e-9, F.lit(False))
+    rest = (minor.alias("p").join(other.alias("q"), (F.col("p.bucket") == F.col("q.bucket")) & fresh & ~apart & _close("x", "y", share))
             .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
-    rest = staged(_near(rest, classes, share).join(pairs, ["a", "b"], "left_anti"))
-    more = _links(rest, docs, share)
+    rest = staged(rest.join(pairs, ["a", "b"], "left_anti"))
+    more = staged(_measured(rest, docs).where(linked).select("a", "b"))
     if not more.isEmpty():
         found = connected_components(links.unionByName(more))
     component = (members.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
