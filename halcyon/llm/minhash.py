@@ -20,7 +20,10 @@ several components, the members outside the bucket's largest component are
 compared with all members of other components.  Pairs within a component need
 no check, and the Jaccard distance is a metric, so neither do pairs whose exact
 distances to their bucket's central member differ by more than the limit; the
-components are those of all the links among bucket mates.
+components are those of all the links among bucket mates.  Buckets of up to
+``SMALL`` members do this as a join of pairs.  Larger ones are cut into tiles of
+two chunks of ``CHUNK`` members, which travel with their sets: a tile checks its
+pairs by itself (each pair in the first bucket it shares) and returns links only.
 
 Defined results for odd input: no words or null text: size 0, linked with
 nothing; a null doc_id: no component, kept; rows that repeat a doc_id are the
@@ -45,6 +48,8 @@ T, ROWS, BANDS = 256, 4, 32
 SHARE = 75
 #: of the 256 coordinates (4 bits of each are kept) a pair at 0.75 agrees in 196, with a deviation of 6.8
 AGREE = 165
+#: members of a bucket whose pairs are joined; members in a chunk of a larger bucket
+SMALL, CHUNK = 64, 512
 TRAITS = [f"s{k}" for k in range(T // 16)]
 
 _U = np.uint64
@@ -140,11 +145,75 @@ def _of(traits: DataFrame, side: str) -> DataFrame:
     return traits.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("n_shingles", *TRAITS)])
 
 
+def _tile_links(share: int):
+    """The links between different components among the members of one tile, at most a spanning forest of them."""
+    def run(key, rows):
+        chunk, node, c = (rows.column(n).to_numpy() for n in ("chunk", "node", "c"))
+        size, band = rows.column("n_shingles").to_numpy(), rows.column("band")[0].as_py()
+        far = rows.column("far").to_numpy(zero_copy_only=False)
+        bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), BANDS)
+        sketches = np.stack([rows.column(t).to_numpy() for t in TRAITS], axis=1).view(np.uint64)
+        i, j = key[1].as_py(), key[2].as_py()
+        left, right = (np.flatnonzero(chunk == k) for k in (i, j))
+        found_a, found_b = [], []
+        parent = list(range(len(node)))
+
+        def root(k):
+            while parent[k] != k:
+                parent[k] = k = parent[parent[k]]
+            return k
+
+        first: dict = {}
+        for k, comp in enumerate(c.tolist()):
+            parent[k] = first.setdefault(comp, k)
+        sets = rows.column("shingles")
+        cache: dict = {}
+
+        def shingles(k):
+            if k not in cache:
+                cache[k] = np.frombuffer(sets[int(k)].as_buffer(), np.uint64)
+            return cache[k]
+
+        for a in range(0, len(left), 128):
+            x, y = (g.ravel() for g in np.meshgrid(left[a:a + 128], right, indexing="ij"))
+            ok = (c[x] != c[y]) & (100 * np.minimum(size[x], size[y]) >= share * np.maximum(size[x], size[y]))
+            ok &= ~(np.abs(far[x] - far[y]) > 1 - share / 100 + 1e-9)
+            if i == j:
+                ok &= x < y
+            x, y = x[ok], y[ok]
+            for b in range(band):  # a pair is checked in the first bucket that it shares
+                other = bands[x, b] != bands[y, b]
+                x, y = x[other], y[other]
+            differ = np.zeros(len(x), dtype=np.int64)
+            for t in range(len(TRAITS)):
+                z = sketches[x, t] ^ sketches[y, t]
+                z |= z >> _U(1)
+                z |= z >> _U(2)
+                differ += np.bitwise_count(z & _U(0x1111111111111111))
+            near = differ <= T - AGREE
+            for p, q in zip(x[near].tolist(), y[near].tolist()):
+                if root(p) == root(q):
+                    continue
+                both = np.concatenate([shingles(p), shingles(q)])
+                both.sort()
+                common = int((both[1:] == both[:-1]).sum())
+                if 100 * common >= share * (len(both) - common):
+                    parent[root(p)] = root(q)
+                    found_a.append(max(node[p], node[q]))
+                    found_b.append(min(node[p], node[q]))
+        return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
+    return run
+
+
+def _sets_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, shingles for the documents named in ``nodes``."""
+    texts = docs.join(nodes, docs["doc_id"] == nodes["node"], "left_semi")
+    return staged(texts.select("doc_id", "text").mapInArrow(_full_sets, "node long, shingles binary"))
+
+
 def _measured(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) with the sizes of the intersection and union of their full shingle sets."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.join(nodes, docs["doc_id"] == nodes["node"], "left_semi")
-    sets = staged(texts.select("doc_id", "text").mapInArrow(_full_sets, "node long, shingles binary"))
+    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), docs)
     both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b"))
     return staged(both.select("a", "b", "x", "y").mapInArrow(_similarity, "a long, b long, common long, either long"))
@@ -160,14 +229,14 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
     classes = staged(full.groupBy(*same).agg(F.min("doc_id").alias("node"), *[F.any_value(c).alias(c) for c in traits]))
     members = staged(full.select("doc_id", *same).join(classes.select("node", *same), same).select("doc_id", "node"))
     # a bucket's members against its most central one
-    spots = classes.select(F.explode("bands").alias("bucket"), "node")
+    spots = classes.select(F.posexplode("bands").alias("band", "bucket"), "node")
     heads = spots.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     spots = staged(spots.join(heads, "bucket"))
     mates = spots.groupBy("node").agg(F.sum("n").alias("mates"))
     heads = (spots.join(mates, "node").groupBy("bucket").agg(F.max(F.struct("mates", "node")).alias("head"))
              .select("bucket", F.col("head.node").alias("head")))
     high, low = F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")
-    spots = staged(spots.join(heads, "bucket").select("bucket", "node", "head"))
+    spots = staged(spots.join(heads, "bucket").select("bucket", "band", "node", "head"))
     pairs = spots.where("node <> head").select(high, low).distinct()
     pairs = staged(pairs.join(_of(classes, "a"), "a").join(_of(classes, "b"), "b").where(_close("a", "b", share)).select("a", "b"))
     measured = _measured(pairs, docs)
@@ -177,19 +246,28 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
     # buckets that hold several components: what is outside the largest one against all others
     far = F.when(F.col("node") == F.col("head"), 0.0).otherwise(1 - F.col("common") / F.col("either"))
     spots = (spots.select("*", high, low).join(measured, ["a", "b"], "left").join(found, "node", "left")
-             .select("bucket", "node", F.coalesce("component", "node").alias("c"), far.alias("far")))
+             .select("bucket", "band", "node", F.coalesce("component", "node").alias("c"), far.alias("far")))
     sizes = spots.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n"))
-    mixed = (sizes.groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("most"), F.count(F.lit(1)).alias("k")).where("k > 1")
-             .select("bucket", F.col("most.c").alias("main")))
+    mixed = (sizes.groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("most"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).where("k > 1")
+             .select("bucket", F.col("most.c").alias("main"), "n"))
     spots = staged(spots.join(mixed, "bucket"))
-    minor = spots.where("c <> main").select("bucket", F.col("node").alias("x"), "c", F.col("far").alias("x_far")).join(_of(classes, "x"), "x")
-    other = spots.select("bucket", F.col("node").alias("y"), F.col("c").alias("d"), "main", F.col("far").alias("y_far")).join(_of(classes, "y"), "y")
+    small, large = spots.where(F.col("n") <= SMALL), spots.where(F.col("n") > SMALL)
+    minor = small.where("c <> main").select("bucket", F.col("node").alias("x"), "c", F.col("far").alias("x_far")).join(_of(classes, "x"), "x")
+    other = small.select("bucket", F.col("node").alias("y"), F.col("c").alias("d"), "main", F.col("far").alias("y_far")).join(_of(classes, "y"), "y")
     fresh = (F.col("c") != F.col("d")) & ((F.col("d") == F.col("main")) | (F.col("x") < F.col("y")))
     apart = F.coalesce(F.abs(F.col("x_far") - F.col("y_far")) > 1 - share / 100 + 1e-9, F.lit(False))
     rest = (minor.alias("p").join(other.alias("q"), (F.col("p.bucket") == F.col("q.bucket")) & fresh & ~apart & _close("x", "y", share))
             .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
     rest = staged(rest.join(pairs, ["a", "b"], "left_anti"))
-    more = staged(_measured(rest, docs).where(linked).select("a", "b"))
+    more = _measured(rest, docs).where(linked).select("a", "b")
+    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    large = large.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    large = large.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    large = large.select("bucket", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"), "chunk", "band", "node", "c", "far")
+    sets = _sets_of(large.select("node").distinct(), docs)
+    large = large.join(classes.select("node", "n_shingles", "bands", *TRAITS), "node").join(sets, "node")
+    tiles = large.groupBy("bucket", "i", "j").applyInArrow(_tile_links(share), "a long, b long")
+    more = staged(more.unionByName(tiles))
     if not more.isEmpty():
         found = connected_components(links.unionByName(more))
     component = (members.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
