@@ -42,18 +42,19 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POW["p"], _POW["i"]
 
 
-def _spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words in ``buf``."""
+def _spans(buf: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words in ``buf``; ``apart`` marks the bytes between words."""
     inside = np.zeros(len(buf) + 2, dtype=np.int8)
-    inside[1:-1] = ~_SEP[buf]
+    inside[1:-1] = ~apart[buf]
     edge = np.diff(inside)
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def word_hashes(buf: np.ndarray, spans: bool = False):
-    """One fingerprint per word of the UTF-8 bytes ``buf`` (and their byte spans)."""
-    starts, ends = _spans(buf)
-    out = np.empty(len(starts), dtype=np.uint64)
+def word_hashes(buf: np.ndarray, spans: bool = False, apart: np.ndarray = _SEP, prefixes: tuple = ()):
+    """One fingerprint per word of the UTF-8 bytes ``buf``; with ``spans`` also their starts and ends,
+    with ``prefixes`` a column for each word's first so many bytes before that of the word."""
+    starts, ends = _spans(buf, apart)
+    out = np.empty((len(starts), len(prefixes) + 1), dtype=np.uint64)
     a = 0
     while a < len(starts):
         # whole words of about PIECE bytes; a longer word is a piece of its own
@@ -63,8 +64,11 @@ def word_hashes(buf: np.ndarray, spans: bool = False):
         total = np.zeros(hi - lo + 1, dtype=np.uint64)
         np.cumsum(_LETTER[buf[lo:hi]] * power[:hi - lo], out=total[1:])
         s, e = starts[a:b] - lo, ends[a:b] - lo
-        out[a:b] = mix((total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64))
+        for k, most in enumerate((*prefixes, None)):
+            end = e if most is None else np.minimum(e, s + most)
+            out[a:b, k] = mix((total[end] - total[s]) * inverse[s] + (end - s).astype(np.uint64))
         a = b
+    out = out if prefixes else out[:, 0]
     return (out, starts, ends) if spans else out
 
 
@@ -93,10 +97,10 @@ def groups(column: pa.Array, size: int = PIECE) -> Iterator[tuple[int, list[np.n
         yield first, held
 
 
-def hashed(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def hashed(docs: list[np.ndarray], **options) -> tuple[np.ndarray, np.ndarray]:
     """Word fingerprints of all ``docs`` in one array, and where each document's words start."""
     space = np.array([32], dtype=np.uint8)
-    h, starts, _ = word_hashes(np.concatenate([x for d in docs for x in (d, space)]), spans=True)
+    h, starts, _ = word_hashes(np.concatenate([x for d in docs for x in (d, space)]), spans=True, **options)
     begin = np.concatenate([[0], np.cumsum([len(d) + 1 for d in docs])])
     return h, np.searchsorted(starts, begin)
 
