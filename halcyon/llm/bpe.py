@@ -181,7 +181,7 @@ def _encode_bucket(shared):
     """All blocks' mentions of one bucket's words: each distinct word is encoded once."""
     def run(rows: pa.Table) -> pa.Table:
         tokenizer, _ = _tokenizer(shared)
-        blobs = [_load(x.as_py()) for x in rows.column("blob")]
+        blobs = [_load(x.as_buffer()) for x in rows.column("blob")]
         coded = pa.chunked_array([pa.array(w, pa.string()) for _, w in blobs]).combine_chunks().dictionary_encode()
         ids = []
         distinct = coded.dictionary.to_pylist()
@@ -197,36 +197,36 @@ def _encode_bucket(shared):
     return run
 
 
-def _positions(rows: pa.Table):
-    """A block's documents and its words' ids: (doc_ids, words of each, word number at each position, ids of each word)."""
-    docs, words = None, {}
+def _positions(rows: pa.Table, pieces: list[bytes], form):
+    """A block's documents and its words: (doc_ids, words of each, word number at each position, what
+    ``form`` makes of each word's ids, each word's bytes from the pieces, each word's number of ids)."""
+    docs, words, raw, count = None, {}, {}, {}
     for bucket, blob in zip(rows.column("bucket").to_pylist(), rows.column("blob")):
+        got = _load(blob.as_buffer())
         if bucket < 0:
-            docs = _load(blob.as_py())
-        else:
-            mine, counts, planes = _load(blob.as_py())
-            flat, ends = _unplanes(planes).tolist(), np.cumsum(counts).tolist()
-            start = 0
-            for w, end in zip(mine.tolist(), ends):
-                words[w] = flat[start:end]
-                start = end
+            docs = got
+            continue
+        mine, counts, planes = got
+        flat, start = _unplanes(planes), 0
+        for w, n in zip(mine.tolist(), counts.tolist()):
+            ids = flat[start:start + n].tolist()
+            start += n
+            words[w], raw[w], count[w] = form(ids), b"".join([pieces[i] for i in ids]), n
     doc_ids, lengths, planes = docs
-    return doc_ids, lengths.tolist(), _unplanes(planes).tolist(), [words[w] for w in range(len(words))]
+    n = range(len(words))
+    return doc_ids, lengths.tolist(), _unplanes(planes), [words[w] for w in n], [raw[w] for w in n], np.array([count[w] for w in n] or [0])
 
 
 def _digests(shared):
     def run(rows: pa.Table) -> pa.Table:
-        _, pieces = _tokenizer(shared)
-        doc_ids, lengths, at, ids = _positions(rows)
-        texts = [",".join(map(str, w)) for w in ids]
-        raw = [b"".join([pieces[i] for i in w]) for w in ids]
-        count, start, out = np.array([len(w) for w in ids] or [0]), 0, []
+        doc_ids, lengths, at, ids, raw, count = _positions(rows, _tokenizer(shared)[1], lambda ids: ",".join(map(str, ids)))
+        start, out = 0, []
         for doc_id, n in zip(doc_ids, lengths):
-            mine = at[start:start + n]
+            total = int(count[at[start:start + n]].sum()) if n else 0
+            mine = at[start:start + n].tolist()
             start += n
             decoded = b"".join([raw[w] for w in mine]).decode("utf-8", "replace")
-            out.append((doc_id, int(count[mine].sum()) if n else 0,
-                        hashlib.sha256(",".join([texts[w] for w in mine]).encode()).hexdigest(),
+            out.append((doc_id, total, hashlib.sha256(",".join([ids[w] for w in mine]).encode()).hexdigest(),
                         hashlib.sha256(decoded.encode()).hexdigest()))
         return pa.table({k: pa.array([r[i] for r in out], t) for i, (k, t) in enumerate(
             (("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())))})
@@ -235,13 +235,13 @@ def _digests(shared):
 
 def _sequences(shared):
     def run(rows: pa.Table) -> pa.Table:
-        _, pieces = _tokenizer(shared)
-        doc_ids, lengths, at, ids = _positions(rows)
+        doc_ids, lengths, at, ids, raw, _ = _positions(rows, _tokenizer(shared)[1], list)
         start, out, texts = 0, [], []
         for n in lengths:
-            out.append([i for w in at[start:start + n] for i in ids[w]])
-            texts.append(b"".join([pieces[i] for i in out[-1]]).decode("utf-8", "replace"))
+            mine = at[start:start + n].tolist()
             start += n
+            out.append([i for w in mine for i in ids[w]])
+            texts.append(b"".join([raw[w] for w in mine]).decode("utf-8", "replace"))
         return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.array(out, pa.list_(pa.int32())), "decoded": pa.array(texts, pa.string())})
     return run
 
