@@ -11,6 +11,9 @@
    Decoding joins each id to its piece (a table as long as the vocabulary) and
    puts the pieces together in the same order.
 
+Blocks are named by the task and batch they come from, so ``docs`` must come in
+the same partitions when read again: a table does, and so does ``staged``.
+
 Texts never travel: a shuffle carries word numbers (compressed), each block's
 distinct words and their ids.  Blocks and buckets have bounded size (``BLOCK``,
 ``BUCKET``) and their number follows the input.
@@ -33,14 +36,14 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from halcyon.llm.common import parts, staged, table
+from halcyon.llm.common import parts, table
 from halcyon.plans.registry import register
 
 #: Fixed value: how byte-level BPE splits text before its merges, with Unicode white space.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPECIAL = "<|endoftext|>"
 #: bytes of text in a block and of distinct words in a bucket, about
-BLOCK, BUCKET = 32 << 20, 8 << 20
+BLOCK, BUCKET = 16 << 20, 2 << 20
 _ROW = "block string, bucket int, blob binary"
 _DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _TOKENIZER: dict = {}
@@ -257,7 +260,8 @@ def _blocks(docs: DataFrame, tokenizer: str | None, block_bytes: int, bucket_byt
     buckets = parts((total or 0) / 8, bucket_bytes)
     split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text")).alias("words"),
                         F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"))
-    blocks = staged(split.mapInArrow(_to_blocks(buckets, block_bytes), _ROW))
+    # both uses make the blocks anew: that costs a split, but keeping them would cost half the input in disk
+    blocks = split.mapInArrow(_to_blocks(buckets, block_bytes), _ROW)
     ids = blocks.where("bucket >= 0").groupBy("bucket").applyInArrow(_encode_bucket(shared), _ROW)
     return blocks.where("bucket < 0").unionAll(ids).groupBy("block"), shared
 
