@@ -220,19 +220,22 @@ def _positions(rows: pa.Table, pieces: list[bytes], form):
     return doc_ids, lengths.tolist(), _unplanes(planes), [words[w] for w in n], [raw[w] for w in n], np.array([count[w] for w in n] or [0])
 
 
-def _digests(shared):
+def _digests(shared, with_ids: bool):
     def run(rows: pa.Table) -> pa.Table:
-        doc_ids, lengths, at, ids, raw, count = _positions(rows, _tokenizer(shared)[1], lambda ids: ",".join(map(str, ids)))
-        start, out = 0, []
+        doc_ids, lengths, at, ids, raw, count = _positions(rows, _tokenizer(shared)[1], lambda ids: (",".join(map(str, ids)), ids if with_ids else None))
+        start, out, lists = 0, [], []
         for doc_id, n in zip(doc_ids, lengths):
             total = int(count[at[start:start + n]].sum()) if n else 0
             mine = at[start:start + n].tolist()
             start += n
             decoded = b"".join([raw[w] for w in mine]).decode("utf-8", "replace")
-            out.append((doc_id, total, hashlib.sha256(",".join([ids[w] for w in mine]).encode()).hexdigest(),
+            out.append((doc_id, total, hashlib.sha256(",".join([ids[w][0] for w in mine]).encode()).hexdigest(),
                         hashlib.sha256(decoded.encode()).hexdigest()))
-        return pa.table({k: pa.array([r[i] for r in out], t) for i, (k, t) in enumerate(
-            (("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())))})
+            if with_ids:
+                lists.append(np.fromiter((i for w in mine for i in ids[w][1]), dtype=np.int32, count=total))
+        got = {k: pa.array([r[i] for r in out], t) for i, (k, t) in enumerate(
+            (("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())))}
+        return pa.table(got | ({"ids": pa.array(lists, pa.list_(pa.int32()))} if with_ids else {}))
     return run
 
 
@@ -266,10 +269,10 @@ def _blocks(docs: DataFrame, tokenizer: str | None, block_bytes: int, bucket_byt
     return blocks.where("bucket < 0").unionAll(ids).groupBy("block"), shared
 
 
-def encode_digests(docs: DataFrame, tokenizer: str | None = None, block_bytes: int = BLOCK, bucket_bytes: int = BUCKET) -> DataFrame:
-    """doc_id, n_tokens and the SHA-256 of the ids (decimal, joined by commas) and of the decoded text."""
+def encode_digests(docs: DataFrame, tokenizer: str | None = None, block_bytes: int = BLOCK, bucket_bytes: int = BUCKET, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens and the SHA-256 of the ids (decimal, joined by commas) and of the decoded text; the ids too if asked for."""
     blocks, shared = _blocks(docs, tokenizer, block_bytes, bucket_bytes)
-    return blocks.applyInArrow(_digests(shared), _DIGEST)
+    return blocks.applyInArrow(_digests(shared, with_ids), _DIGEST + (", ids array<int>" if with_ids else ""))
 
 
 def encode(docs: DataFrame, tokenizer: str | None = None, block_bytes: int = BLOCK, bucket_bytes: int = BUCKET) -> DataFrame:

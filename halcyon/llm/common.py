@@ -32,3 +32,13 @@ def parts(total: float, per_part: float, least: int = 1) -> int:
 def n_words(text) -> "F.Column":
     """Number of words of a text column (null: 0)."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+#: ids (about 16 bytes each in a hash table) that may be broadcast
+BROADCAST_IDS = 2_000_000
+
+
+def small(df: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """``df`` staged, counted, and marked for broadcast if it has at most ``most`` rows; else an ordinary join side."""
+    df = staged(df)
+    return F.broadcast(df) if df.count() <= most else df

@@ -38,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from halcyon.llm.common import staged, table
+from halcyon.llm.common import small, staged, table
 from halcyon.llm.components import connected_components
 from halcyon.llm.words import groups, hashed, mix, shingle_set
 from halcyon.plans.registry import register
@@ -207,7 +207,8 @@ def _tile_links(share: int):
 
 def _sets_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """node, shingles for the documents named in ``nodes``."""
-    texts = docs.join(nodes, docs["doc_id"] == nodes["node"], "left_semi")
+    nodes = small(nodes.withColumnRenamed("node", "wanted"))
+    texts = docs.join(nodes, docs["doc_id"] == nodes["wanted"], "left_semi")
     return staged(texts.select("doc_id", "text").mapInArrow(_full_sets, "node long, shingles binary"))
 
 
@@ -251,9 +252,9 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
     mixed = (sizes.groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("most"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).where("k > 1")
              .select("bucket", F.col("most.c").alias("main"), "n"))
     spots = staged(spots.join(mixed, "bucket"))
-    small, large = spots.where(F.col("n") <= SMALL), spots.where(F.col("n") > SMALL)
-    minor = small.where("c <> main").select("bucket", F.col("node").alias("x"), "c", F.col("far").alias("x_far")).join(_of(classes, "x"), "x")
-    other = small.select("bucket", F.col("node").alias("y"), F.col("c").alias("d"), "main", F.col("far").alias("y_far")).join(_of(classes, "y"), "y")
+    few, large = spots.where(F.col("n") <= SMALL), spots.where(F.col("n") > SMALL)
+    minor = few.where("c <> main").select("bucket", F.col("node").alias("x"), "c", F.col("far").alias("x_far")).join(_of(classes, "x"), "x")
+    other = few.select("bucket", F.col("node").alias("y"), F.col("c").alias("d"), "main", F.col("far").alias("y_far")).join(_of(classes, "y"), "y")
     fresh = (F.col("c") != F.col("d")) & ((F.col("d") == F.col("main")) | (F.col("x") < F.col("y")))
     apart = F.coalesce(F.abs(F.col("x_far") - F.col("y_far")) > 1 - share / 100 + 1e-9, F.lit(False))
     rest = (minor.alias("p").join(other.alias("q"), (F.col("p.bucket") == F.col("q.bucket")) & fresh & ~apart & _close("x", "y", share))
@@ -269,7 +270,13 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
     tiles = large.groupBy("bucket", "i", "j").applyInArrow(_tile_links(share), "a long, b long")
     more = staged(more.unionByName(tiles))
     if not more.isEmpty():
-        found = connected_components(links.unionByName(more))
+        # links between components found before: join these only
+        for end in ("a", "b"):
+            of = found.select(F.col("node").alias(end), F.col("component").alias("c"))
+            more = more.join(of, end, "left").withColumn(end, F.coalesce("c", end)).drop("c")
+        joined = connected_components(more).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+        singles = joined.join(found.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("node"), F.col("whole").alias("component"))
+        found = found.join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component")).unionByName(singles)
     component = (members.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
                  .groupBy("doc_id").agg(F.min("component").alias("component")))
     out = all_docs.select("doc_id", "n_shingles").join(component, "doc_id", "left")
@@ -279,7 +286,7 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
 
 def one_of_each(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """``docs`` without the near copies: of each group the document with the smallest id stays."""
-    gone = near_duplicates(docs, share).where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = small(near_duplicates(docs, share).where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct())
     return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
 
 
