@@ -22,20 +22,37 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
+import base64
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from halcyon.llm.bpe import _tokenizer, default_tokenizer
 from halcyon.llm.common import parts, table
 from halcyon.plans.registry import register
 
+#: Fixed value: how the vocabulary's byte-level BPE splits text before its merges.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WIDTH = 2048
 END, PAD = 50256, 50256
 #: bytes of text in a bucket, about
 BUCKET = 2 << 20
+_ENCODINGS: dict = {}
+
+
+def default_ranks() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def _encoding(shared):
+    key = hash(shared.value)
+    if key not in _ENCODINGS:
+        import tiktoken
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, shared.value.splitlines())}
+        _ENCODINGS.clear()
+        _ENCODINGS[key] = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _ENCODINGS[key]
 
 
 class FreeSpace:
@@ -100,14 +117,11 @@ _PACKED = ("bucket long, row int, ids array<int>, cu_seqlens array<int>, positio
 
 def _matrix(shared, width: int, end: int, pad: int):
     def run(rows: pa.Table) -> pa.Table:
-        tokenizer = _tokenizer(shared)[0]
-        order = sorted(range(rows.num_rows), key=lambda k: (rows.column("doc_id")[k].as_py() is None, rows.column("doc_id")[k].as_py() or 0, rows.column("h")[k].as_py()))
-        rows = rows.take(pa.array(order, pa.int64()))
-        doc_ids, texts = rows.column("doc_id").to_pylist(), rows.column("text").to_pylist()
-        tokens = []
-        for a in range(0, len(texts), 64):
-            part = [t or "" for t in texts[a:a + 64]]
-            tokens += [np.array([*e.ids, end], dtype=np.int32) for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+        encoding = _encoding(shared)
+        keys = list(zip(rows.column("doc_id").to_pylist(), rows.column("h").to_pylist()))
+        rows = rows.take(pa.array(sorted(range(len(keys)), key=lambda k: (keys[k][0] is None, keys[k][0] or 0, keys[k][1])), pa.int64()))
+        doc_ids = rows.column("doc_id").to_pylist()
+        tokens = [np.array([*encoding.encode_ordinary(t.as_py() or ""), end], dtype=np.int32) for t in rows.column("text")]
         packed = pack([len(t) for t in tokens], width)
         ids = np.full((len(packed), width), pad, dtype=np.int32)
         positions = np.zeros((len(packed), width), dtype=np.int32)
@@ -129,11 +143,10 @@ def _matrix(shared, width: int, end: int, pad: int):
     return run
 
 
-def packed_matrices(docs: DataFrame, width: int = WIDTH, tokenizer: str | None = None, end: int = END, pad: int = PAD, bucket_bytes: int = BUCKET) -> DataFrame:
+def packed_matrices(docs: DataFrame, width: int = WIDTH, ranks: str | None = None, end: int = END, pad: int = PAD, bucket_bytes: int = BUCKET) -> DataFrame:
     """bucket, row, ids (``width`` of them), cu_seqlens, positions, docs (doc_id, place and first token of each segment)."""
-    with open(tokenizer or default_tokenizer(), encoding="utf-8") as f:
-        spec = f.read()
-    shared = docs.sparkSession.sparkContext.broadcast((hashlib.sha256(spec.encode()).hexdigest(), spec))
+    with open(ranks or default_ranks(), "rb") as f:
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())
     buckets = parts(docs.agg(F.sum(F.octet_length("text"))).first()[0], bucket_bytes)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("h", F.xxhash64("doc_id", "text")).withColumn("bucket", F.pmod("h", F.lit(buckets)))
