@@ -29,6 +29,7 @@ import hashlib
 import json
 import pickle
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from halcyon.llm.common import parts, table
+from halcyon.llm.words import mix
 from halcyon.plans.registry import register
 
 #: Fixed value: how byte-level BPE splits text before its merges, with Unicode white space.
@@ -64,7 +66,7 @@ def words_of(text: Column) -> Column:
     return F.when(F.contains(text, F.lit(SPECIAL)), F.slice(cut, 2, F.size(cut))).otherwise(split(text))
 
 
-_ZSTD = pa.Codec("zstd", compression_level=9)
+_ZSTD = pa.Codec("zstd", compression_level=6)
 
 
 def _dump(value) -> bytes:
@@ -95,12 +97,19 @@ def _unplanes(planes: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _text_hash(words: pa.Array) -> np.ndarray:
-    from halcyon.llm.words import mix
-    out = np.empty(len(words), dtype=np.uint64)
-    for i, w in enumerate(words.to_pylist()):
-        out[i] = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-    return mix(out)
+def _bytes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets (from 0) and bytes of the words."""
+    offsets = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset:words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8)[offsets[0]:offsets[-1]]
+    return offsets - offsets[0], data
+
+
+def _bucket_of(words: pa.Array, buckets: int) -> np.ndarray:
+    """A hash of each word's bytes (a sum of mixed (byte, place) values) as its bucket."""
+    offsets, data = _bytes_of(words)
+    place = np.arange(len(data), dtype=np.uint64) - np.repeat(offsets[:-1], np.diff(offsets)).astype(np.uint64)
+    total = np.concatenate([[0], np.cumsum(mix((place << np.uint64(8)) | data), dtype=np.uint64)]).astype(np.uint64)
+    return (mix(total[offsets[1:]] - total[offsets[:-1]]) % np.uint64(buckets)).astype(np.int64)
 
 
 def _block(name: str, docs: list[pa.RecordBatch], buckets: int) -> Iterator[dict]:
@@ -115,12 +124,12 @@ def _block(name: str, docs: list[pa.RecordBatch], buckets: int) -> Iterator[dict
     number[order] = np.arange(len(order))
     known = coded.dictionary.take(pa.array(order))
     yield {"block": name, "bucket": -1, "blob": _dump((ids.to_pylist(), lengths, _planes(number[at])))}
-    bucket = (_text_hash(known) % np.uint64(buckets)).astype(np.int64)
+    bucket = _bucket_of(known, buckets) if len(known) else np.zeros(0, np.int64)
     # in alphabetical order within a bucket: words and ids compress better
     by = np.lexsort((pc.rank(known).to_numpy(), bucket)) if len(known) else bucket
     cuts = np.flatnonzero(np.diff(bucket[by])) + 1
     for mine in np.split(by, cuts) if len(by) else []:
-        yield {"block": name, "bucket": int(bucket[mine[0]]), "blob": _dump((mine.astype(np.int32), known.take(pa.array(mine)).to_pylist()))}
+        yield {"block": name, "bucket": int(bucket[mine[0]]), "blob": _dump((mine.astype(np.int32), *_bytes_of(known.take(pa.array(mine)))))}
 
 
 def _batch(rows: list[dict]) -> pa.RecordBatch:
@@ -185,17 +194,20 @@ def _encode_bucket(shared):
     def run(rows: pa.Table) -> pa.Table:
         tokenizer, _ = _tokenizer(shared)
         blobs = [_load(x.as_buffer()) for x in rows.column("blob")]
-        coded = pa.chunked_array([pa.array(w, pa.string()) for _, w in blobs]).combine_chunks().dictionary_encode()
-        ids = []
-        distinct = coded.dictionary.to_pylist()
+        mentions = [pa.StringArray.from_buffers(len(mine), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())) for mine, offsets, data in blobs]
+        coded = pa.concat_arrays(mentions).dictionary_encode()
+        ids, distinct = [], coded.dictionary.to_pylist()
         for a in range(0, len(distinct), 4096):
             ids += [e.ids for e in tokenizer.encode_batch_fast(distinct[a:a + 4096], add_special_tokens=False)]
+        count = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        flat, start = np.fromiter(chain.from_iterable(ids), dtype=np.int64, count=count.sum()), np.cumsum(count) - count
         at, done, out = coded.indices.to_numpy(), 0, []
-        for block, (mine, words) in zip(rows.column("block").to_pylist(), blobs):
-            got = [ids[k] for k in at[done:done + len(words)]]
-            done += len(words)
-            flat = np.fromiter((i for g in got for i in g), dtype=np.uint32)
-            out.append({"block": block, "bucket": 0, "blob": _dump((mine, np.fromiter(map(len, got), dtype=np.uint32), _planes(flat)))})
+        for block, (mine, _, _) in zip(rows.column("block").to_pylist(), blobs):
+            mentioned = at[done:done + len(mine)]
+            done += len(mine)
+            n = count[mentioned]
+            where = np.repeat(start[mentioned] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            out.append({"block": block, "bucket": 0, "blob": _dump((mine, n.astype(np.uint32), _planes(flat[where])))})
         return pa.Table.from_batches([_batch(out)])
     return run
 
