@@ -64,8 +64,9 @@ def apportion(parties: DataFrame, group: list[str], key: str, votes: str, cap: s
     """Adds ``won``: the seats of each party when ``seats`` go to the highest votes / (2s + 1)
     (none beyond a party's ``cap``; ties to the smaller ``key``), separately in each group.
 
-    Each party's rounded share is at most a few seats off, so only the seats
-    near it are compared: about three rows for each party, whatever the house.
+    No party's proportional share may exceed its cap, as it does not after water
+    filling.  Then each party's rounded share is at most a few seats off, so only the
+    seats near it are compared: about three rows for each party, whatever the house.
     """
     g = Window.partitionBy(*group) if group else Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     p = parties.withColumn("_all", F.sum(votes).over(g)).withColumn("_n", F.count(F.lit(1)).over(g))
