@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -24,6 +25,18 @@ def staged(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+@contextmanager
+def rows_per_batch(spark: SparkSession, rows: int):
+    """Within this, what is computed passes ``rows`` rows at a time to Python: for rows that hold whole texts or sets."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def parts(total: float, per_part: float, least: int = 1) -> int:
     """How many pieces of ``per_part`` hold ``total``; follows the data only, never the cluster."""
     return max(least, math.ceil((total or 0) / per_part))

@@ -38,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from halcyon.llm.common import small, staged, table
+from halcyon.llm.common import rows_per_batch, small, staged, table
 from halcyon.llm.components import connected_components
 from halcyon.llm.words import groups, hashed, mix, shingle_set
 from halcyon.plans.registry import register
@@ -217,7 +217,8 @@ def _measured(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), docs)
     both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b"))
-    return staged(both.select("a", "b", "x", "y").mapInArrow(_similarity, "a long, b long, common long, either long"))
+    with rows_per_batch(docs.sparkSession, 512):
+        return staged(both.select("a", "b", "x", "y").mapInArrow(_similarity, "a long, b long, common long, either long"))
 
 
 def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
