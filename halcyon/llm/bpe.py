@@ -112,7 +112,8 @@ def _bucket_of(words: pa.Array, buckets: int) -> np.ndarray:
     return (mix(total[offsets[1:]] - total[offsets[:-1]]) % np.uint64(buckets)).astype(np.int64)
 
 
-def _block(name: str, docs: list[pa.RecordBatch], buckets: int) -> Iterator[dict]:
+def _block(name: str, docs: list[pa.RecordBatch], buckets: int, words_only: bool) -> Iterator[dict]:
+    """A block's positions as one row (bucket -1), or its distinct words as a row for each bucket."""
     ids = pa.concat_arrays([b.column(0) for b in docs])
     words = pa.concat_arrays([b.column(1) for b in docs])
     lengths = np.diff(words.offsets.to_numpy())
@@ -122,8 +123,10 @@ def _block(name: str, docs: list[pa.RecordBatch], buckets: int) -> Iterator[dict
     order = np.argsort(-np.bincount(at, minlength=len(coded.dictionary)), kind="stable")
     number = np.empty(len(order), dtype=np.int64)
     number[order] = np.arange(len(order))
+    if not words_only:
+        yield {"block": name, "bucket": -1, "blob": _dump((ids.to_pylist(), lengths, _planes(number[at])))}
+        return
     known = coded.dictionary.take(pa.array(order))
-    yield {"block": name, "bucket": -1, "blob": _dump((ids.to_pylist(), lengths, _planes(number[at])))}
     bucket = _bucket_of(known, buckets) if len(known) else np.zeros(0, np.int64)
     # in alphabetical order within a bucket: words and ids compress better
     by = np.lexsort((pc.rank(known).to_numpy(), bucket)) if len(known) else bucket
@@ -136,7 +139,7 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("blob", pa.binary())]))
 
 
-def _to_blocks(buckets: int, size: int):
+def _to_blocks(buckets: int, size: int, words_only: bool):
     def run(batches):
         task, held, total, n = TaskContext.get().partitionId(), [], 0, 0
         for b in batches:
@@ -149,11 +152,11 @@ def _to_blocks(buckets: int, size: int):
                 total += int(starts[c] - starts[a])
                 a = c
                 if total >= size or a < b.num_rows:
-                    for row in _block(f"{task}-{n}", held, buckets):
+                    for row in _block(f"{task}-{n}", held, buckets, words_only):
                         yield _batch([row])
                     held, total, n = [], 0, n + 1
         if held:
-            for row in _block(f"{task}-{n}", held, buckets):
+            for row in _block(f"{task}-{n}", held, buckets, words_only):
                 yield _batch([row])
     return run
 
@@ -169,7 +172,8 @@ def _tokenizer(shared):
         t.no_truncation()
         t.no_padding()
         _TOKENIZER.clear()
-        _TOKENIZER[key] = (t, _pieces(shared.value[1]))
+        pieces = _pieces(shared.value[1])
+        _TOKENIZER[key] = (t, Spelling(pieces), Spelling([b"%d," % i for i in range(len(pieces))]))
     return _TOKENIZER[key]
 
 
@@ -192,7 +196,7 @@ def _pieces(spec: str) -> list[bytes]:
 def _encode_bucket(shared):
     """All blocks' mentions of one bucket's words: each distinct word is encoded once."""
     def run(rows: pa.Table) -> pa.Table:
-        tokenizer, _ = _tokenizer(shared)
+        tokenizer = _tokenizer(shared)[0]
         blobs = [_load(x.as_buffer()) for x in rows.column("blob")]
         mentions = [pa.StringArray.from_buffers(len(mine), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())) for mine, offsets, data in blobs]
         coded = pa.concat_arrays(mentions).dictionary_encode()
@@ -212,55 +216,83 @@ def _encode_bucket(shared):
     return run
 
 
-def _positions(rows: pa.Table, pieces: list[bytes], form):
-    """A block's documents and its words: (doc_ids, words of each, word number at each position, what
-    ``form`` makes of each word's ids, each word's bytes from the pieces, each word's number of ids)."""
-    docs, words, raw, count = None, {}, {}, {}
+class Spelling:
+    """A table from ids to byte strings, and what sequences of ids spell (no loop over ids)."""
+
+    def __init__(self, strings: list[bytes]):
+        self.ends = np.concatenate([[0], np.cumsum([len(x) for x in strings])])
+        self.data = np.frombuffer(b"".join(strings), dtype=np.uint8)
+
+    def __call__(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ``ids`` one after the other, and where those of each begin (and the last end)."""
+        n = self.ends[ids + 1] - self.ends[ids]
+        begin = np.concatenate([[0], np.cumsum(n)])
+        return self.data[np.repeat(self.ends[ids] - begin[:-1], n) + np.arange(begin[-1])], begin
+
+
+#: positions worked on at once
+AT_ONCE = 200_000
+
+
+def _documents(rows: pa.Table) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """A block's ids joined back to its positions: (doc_ids, all their ids, where each document's begin) of some documents at a time."""
+    docs, marks, flats, counts = None, [], [], []
     for bucket, blob in zip(rows.column("bucket").to_pylist(), rows.column("blob")):
         got = _load(blob.as_buffer())
         if bucket < 0:
             docs = got
-            continue
-        mine, counts, planes = got
-        flat, start = _unplanes(planes), 0
-        for w, n in zip(mine.tolist(), counts.tolist()):
-            ids = flat[start:start + n].tolist()
-            start += n
-            words[w], raw[w], count[w] = form(ids), b"".join([pieces[i] for i in ids]), n
+        else:
+            marks.append(got[0])
+            counts.append(got[1].astype(np.int64))
+            flats.append(_unplanes(got[2]))
+    none = np.zeros(0, dtype=np.int64)
+    mark, count, flat = (np.concatenate([none, *x]).astype(np.int64) for x in (marks, counts, flats))
+    start = np.cumsum(count) - count
+    by = np.argsort(mark)  # word numbers are 0, 1, ...
+    start, count = start[by], count[by]
     doc_ids, lengths, planes = docs
-    n = range(len(words))
-    return doc_ids, lengths.tolist(), _unplanes(planes), [words[w] for w in n], [raw[w] for w in n], np.array([count[w] for w in n] or [0])
+    at = _unplanes(planes)
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    a = 0
+    while a < len(doc_ids):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + AT_ONCE, side="right")) - 1)
+        here = at[ends[a]:ends[b]]
+        n = count[here]
+        total = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.repeat(start[here] - total[:-1], n) + np.arange(total[-1])]
+        yield doc_ids[a:b], ids, total[ends[a:b + 1] - ends[a]]
+        a = b
 
 
 def _digests(shared, with_ids: bool):
     def run(rows: pa.Table) -> pa.Table:
-        doc_ids, lengths, at, ids, raw, count = _positions(rows, _tokenizer(shared)[1], lambda ids: (",".join(map(str, ids)), ids if with_ids else None))
-        start, out, lists = 0, [], []
-        for doc_id, n in zip(doc_ids, lengths):
-            total = int(count[at[start:start + n]].sum()) if n else 0
-            mine = at[start:start + n].tolist()
-            start += n
-            decoded = b"".join([raw[w] for w in mine]).decode("utf-8", "replace")
-            out.append((doc_id, total, hashlib.sha256(",".join([ids[w][0] for w in mine]).encode()).hexdigest(),
-                        hashlib.sha256(decoded.encode()).hexdigest()))
+        pieces, numbers = _tokenizer(shared)[1:]
+        out: list = [[], [], [], [], []]
+        for doc_ids, ids, begin in _documents(rows):
+            raw, raw_at = pieces(ids)
+            text, text_at = numbers(ids)
+            out[0] += doc_ids
+            out[1] += np.diff(begin).tolist()
+            for a, b in zip(begin[:-1].tolist(), begin[1:].tolist()):
+                decoded = raw[raw_at[a]:raw_at[b]].tobytes().decode("utf-8", "replace")
+                out[2].append(hashlib.sha256(text[text_at[a]:max(text_at[a], text_at[b] - 1)]).hexdigest())
+                out[3].append(hashlib.sha256(decoded.encode()).hexdigest())
             if with_ids:
-                lists.append(np.fromiter((i for w in mine for i in ids[w][1]), dtype=np.int32, count=total))
-        got = {k: pa.array([r[i] for r in out], t) for i, (k, t) in enumerate(
-            (("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())))}
-        return pa.table(got | ({"ids": pa.array(lists, pa.list_(pa.int32()))} if with_ids else {}))
+                out[4].append(pa.ListArray.from_arrays(begin.astype(np.int32), ids.astype(np.int32)))
+        got = {k: pa.array(v, t) for k, v, t in zip(("doc_id", "n_tokens", "ids_sha256", "decoded_sha256"), out, (pa.int64(), pa.int64(), pa.string(), pa.string()))}
+        return pa.table(got | ({"ids": pa.chunked_array(out[4], pa.list_(pa.int32()))} if with_ids else {}))
     return run
 
 
 def _sequences(shared):
     def run(rows: pa.Table) -> pa.Table:
-        doc_ids, lengths, at, ids, raw, _ = _positions(rows, _tokenizer(shared)[1], list)
-        start, out, texts = 0, [], []
-        for n in lengths:
-            mine = at[start:start + n].tolist()
-            start += n
-            out.append([i for w in mine for i in ids[w]])
-            texts.append(b"".join([raw[w] for w in mine]).decode("utf-8", "replace"))
-        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.array(out, pa.list_(pa.int32())), "decoded": pa.array(texts, pa.string())})
+        out: list = [[], [], []]
+        for doc_ids, ids, begin in _documents(rows):
+            raw, raw_at = _tokenizer(shared)[1](ids)
+            out[0] += doc_ids
+            out[1].append(pa.ListArray.from_arrays(begin.astype(np.int32), ids.astype(np.int32)))
+            out[2] += [raw[raw_at[a]:raw_at[b]].tobytes().decode("utf-8", "replace") for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())]
+        return pa.table({"doc_id": pa.array(out[0], pa.int64()), "ids": pa.chunked_array(out[1], pa.list_(pa.int32())), "decoded": pa.array(out[2], pa.string())})
     return run
 
 
@@ -275,10 +307,10 @@ def _blocks(docs: DataFrame, tokenizer: str | None, block_bytes: int, bucket_byt
     buckets = parts((total or 0) / 8, bucket_bytes)
     split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text")).alias("words"),
                         F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"))
-    # both uses make the blocks anew: that costs a split, but keeping them would cost half the input in disk
-    blocks = split.mapInArrow(_to_blocks(buckets, block_bytes), _ROW)
-    ids = blocks.where("bucket >= 0").groupBy("bucket").applyInArrow(_encode_bucket(shared), _ROW)
-    return blocks.where("bucket < 0").unionAll(ids).groupBy("block"), shared
+    # the texts are split twice, for the words and for the positions: keeping the split would cost half the input in disk
+    positions, words = (split.mapInArrow(_to_blocks(buckets, block_bytes, only), _ROW) for only in (False, True))
+    ids = words.groupBy("bucket").applyInArrow(_encode_bucket(shared), _ROW)
+    return positions.unionAll(ids).groupBy("block"), shared
 
 
 def encode_digests(docs: DataFrame, tokenizer: str | None = None, block_bytes: int = BLOCK, bucket_bytes: int = BUCKET, with_ids: bool = False) -> DataFrame:
