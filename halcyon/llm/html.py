@@ -11,7 +11,7 @@ are the blocks of the result.
 
 Training needs no hand-made labels: from a bounded sample (the ``SAMPLE`` pages
 with the smallest id hashes) each page with a marked article is read as it is,
-labelled by that mark, and twice more rearranged: its article under other
+labelled by that mark, and ``VARIANTS`` times more rearranged: its article under other
 names and its other parts, mixed with sentences of the page, as menus, notices,
 comments, forms, side bars and so on.  The fit is one Spark group of that size.
 
@@ -36,7 +36,11 @@ from halcyon.llm.common import table
 from halcyon.plans.registry import register
 
 SAMPLE = 300
+#: rearranged versions of each sampled page
+VARIANTS = 2
 TREES, DEPTH, RATE, BINS = 40, 4, 0.2, 32
+#: weight (second derivatives) on either side of a split at least
+LEAST = 3.0
 #: pages whose nodes are scored at once
 CHUNK = 200
 
@@ -52,6 +56,10 @@ TOKENS = ("content article post main entry story body text nav menu header foote
           "cookie consent notice alert share social related recommend comment comments reply replies discussion respond form login search subscribe "
           "newsletter signup popup modal widget breadcrumb breadcrumbs pagination pager tags meta byline copyright legal toolbar skip").split()
 
+MAIN_TOKENS = "content article post main entry story body text tags meta byline".split()
+NOT_MAIN_TAGS = frozenset("nav aside form footer".split())
+
+NOT_MAIN = frozenset(TOKENS) - frozenset(MAIN_TOKENS)
 _TAG = {t: i for i, t in enumerate(TAGS)}
 _TOKEN = {t: i for i, t in enumerate(TOKENS)}
 _BLOCKS, _VOID, _HIDDEN = frozenset(BLOCKS), frozenset(VOID), frozenset(HIDDEN)
@@ -259,7 +267,7 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH,
                 """Takes the best of splits given by the sums of their right sides."""
                 gl, hl = total_g - gr, total_h - hr
                 gain = gl ** 2 / (hl + 1) + gr ** 2 / (hr + 1) - total_g ** 2 / (total_h + 1)
-                gain[(hl < 0.5) | (hr < 0.5)] = 0
+                gain[(hl < LEAST) | (hr < LEAST)] = 0
                 at = gain.argmax(axis=1)
                 for q in np.flatnonzero(gain[rows, at] > best):
                     best[q], f[width - 1 + q], t[width - 1 + q] = gain[q, at[q]], features[at[q]], limits[at[q]]
@@ -366,11 +374,13 @@ def _rearranged(page: str, inner: str, rng) -> str:
 
 
 def _labels(nodes: list[Node]) -> np.ndarray:
-    """1 for nodes that hold main text: leaves by the nearest labelled ancestor, elements if they hold such a leaf."""
+    """1 for nodes that hold main text: leaves by the nearest labelled ancestor (an element named as something
+    else within an article is not main), elements if they hold such a leaf."""
     label, inside = [False] * len(nodes), [0] * len(nodes)
     for k in range(1, len(nodes)):
         n = nodes[k]
-        label[k] = label[n.parent] if n.label is None else n.label
+        other = n.tag in NOT_MAIN_TAGS or not NOT_MAIN.isdisjoint(n.tokens)
+        label[k] = n.label if n.label is not None else label[n.parent] and not other
     for k in range(len(nodes) - 1, 0, -1):
         inside[k] += label[k] and nodes[k].text is not None
         inside[nodes[k].parent] += inside[k]
@@ -386,7 +396,7 @@ def fit(pages: list[str]) -> dict | None:
         if not m:
             continue
         marked = page[:m.start()] + f'<{m.group(1)} data-main="1"' + page[m.start() + 1 + len(m.group(1)):]
-        for p in (marked, _rearranged(page, m.group(2), rng), _rearranged(page, m.group(2), rng)):
+        for p in (marked, *[_rearranged(page, m.group(2), rng) for _ in range(VARIANTS)]):
             nodes = parse(p)
             if len(nodes) > 1:
                 xs.append(features(nodes))
