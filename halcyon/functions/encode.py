@@ -26,9 +26,17 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+BLANKS = "^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$"
+
+
+def strip(col) -> Column:
+    """The text without blanks (tabs and line ends too) at its ends; ``trim`` takes spaces only."""
+    return F.regexp_replace(_c(col).cast("string"), BLANKS, "")
+
+
 def flag_in(col, truthy: Sequence[str]) -> Column:
-    """1 when lower(trim(text of col)) is one of ``truthy`` else 0 (nulls -> 0)."""
-    txt = F.lower(F.trim(_c(col).cast("string")))
+    """1 when the lower-case text of col without blanks around it is one of ``truthy`` else 0 (nulls -> 0)."""
+    txt = F.lower(strip(col))
     return F.coalesce(txt.isin(list(truthy)), F.lit(False)).cast("int")
 
 
@@ -43,7 +51,7 @@ def encode_sex(col="sex") -> Column:
 def encode_region(col="region", codes: dict | None = None) -> Column:
     """Fixed region code; unknown or null -> 0."""
     codes = codes or REGION_CODES
-    txt = F.lower(F.trim(_c(col).cast("string")))
+    txt = F.lower(strip(col))
     expr = None
     for name, code in codes.items():
         expr = F.when(txt == name, F.lit(code)) if expr is None else expr.when(txt == name, F.lit(code))
@@ -73,7 +81,7 @@ def bmi_category(col="bmi") -> Column:
 
 def canonical(col, mapping: dict) -> Column:
     """Trim/lower and map to the canonical spelling; unknown values unchanged."""
-    txt = F.lower(F.trim(_c(col)))
+    txt = F.lower(strip(col))
     expr = None
     for k, v in mapping.items():
         expr = F.when(txt == k, F.lit(v)) if expr is None else expr.when(txt == k, F.lit(v))

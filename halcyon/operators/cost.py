@@ -8,9 +8,14 @@ a hash of the claim key so they do not depend on partitioning.
 
 from __future__ import annotations
 
+import statistics
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import ParamGridBuilder
@@ -24,7 +29,8 @@ from halcyon.operators.stats import regression_metrics
 
 LABEL = "log_charges"
 CI_SHARE = 0.18
-RF_MAX_DEPTH = 12      # the unbounded-depth forest is capped for a distributed fit
+RF_MAX_DEPTH = 30      # "unbounded": the deepest trees that Spark ML grows
+TREE_MEMORY_MB = 1024  # statistics of a whole tree level fit, so a level is one pass
 
 
 def _ridge(alpha: float, label_std: float, n: float) -> LinearRegression:
@@ -37,21 +43,18 @@ def _ridge(alpha: float, label_std: float, n: float) -> LinearRegression:
 def candidates(label_std: float, n: float) -> dict:
     return {
         "GradientBoosting": GBTRegressor(featuresCol="features", labelCol=LABEL, maxIter=100, maxDepth=3,
-                                         stepSize=0.1, seed=SEED, maxBins=64),
+                                         stepSize=0.1, seed=SEED, maxBins=64, maxMemoryInMB=TREE_MEMORY_MB),
         "RandomForest": RandomForestRegressor(featuresCol="features", labelCol=LABEL, numTrees=100,
-                                              maxDepth=RF_MAX_DEPTH, seed=SEED, maxBins=64),
+                                              maxDepth=RF_MAX_DEPTH, seed=SEED, maxBins=64, maxMemoryInMB=TREE_MEMORY_MB),
         "Ridge": _ridge(1.0, label_std, n),
     }
 
 
 def param_grid(name: str, est, label_std: float, n: float):
     g = ParamGridBuilder()
-    if name == "GradientBoosting":
-        return g.addGrid(est.maxIter, [100, 200]).addGrid(est.maxDepth, [3, 4]) \
-            .addGrid(est.stepSize, [0.05, 0.1]).build()
     if name == "RandomForest":
         return g.addGrid(est.numTrees, [100, 200]).addGrid(est.maxDepth, [RF_MAX_DEPTH, 10]).build()
-    return g.addGrid(est.regParam, [a * label_std / max(n, 1.0) for a in (0.1, 1.0, 10.0)]).build()
+    raise ValueError(f"no grid for {name}")
 
 
 def _label_stats(df: DataFrame) -> tuple[float, float]:
@@ -63,19 +66,96 @@ def _r2() -> RegressionEvaluator:
     return RegressionEvaluator(labelCol=LABEL, metricName="r2")
 
 
-def compare_regressors(train: DataFrame, folds: int = 5, parallelism: int = 4) -> DataFrame:
+def _concurrent(train: DataFrame) -> int:
+    """Fits submitted at once: boosting is a chain of small jobs, so fits and not rows keep the cores busy."""
+    return max(4, min(16, train.sparkSession.sparkContext.defaultParallelism))
+
+
+def fold_moments(data: DataFrame, folds: int, label: str = LABEL) -> list[np.ndarray]:
+    """Per fold the matrix Z'Z of Z = (1, features, label): one pass, one small matrix per partition and fold."""
+    def run(batches):
+        total: dict = {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            z = np.column_stack([np.ones(b.num_rows), x, b.column(2).to_numpy(zero_copy_only=False)])
+            fold = b.column(0).to_numpy()
+            for f in np.unique(fold):
+                mine = z[fold == f]
+                total[f] = total.get(f, 0) + mine.T @ mine
+        for f, m in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([int(f)], pa.int32()), pa.array([m.ravel().tolist()])], names=["fold", "m"])
+
+    rows = (data.select(F.col("fold").cast("int"), vector_to_array("features").alias("x"), F.col(label).cast("double"))
+            .mapInArrow(run, "fold int, m array<double>").select("fold", F.posexplode("m").alias("i", "v"))
+            .groupBy("fold", "i").agg(F.sum("v").alias("v")).collect())      # folds x (features + 2)^2 numbers
+    size = max((r["i"] for r in rows), default=0) + 1
+    out = [np.zeros(size) for _ in range(folds)]
+    for r in rows:
+        out[r["fold"]][r["i"]] = r["v"]
+    width = int(round(size ** 0.5))
+    return [m.reshape(width, width) for m in out]
+
+
+def ridge_solution(m: np.ndarray, alpha: float) -> np.ndarray:
+    """(intercept, weights) of ridge regression from Z'Z; the intercept carries no penalty."""
+    n, mean = m[0, 0], m[0, 1:] / max(m[0, 0], 1.0)
+    centred = m[1:, 1:] - n * np.outer(mean, mean)
+    k = len(mean) - 1
+    w = np.linalg.lstsq(centred[:k, :k] + alpha * np.eye(k), centred[:k, k], rcond=None)[0]
+    return np.concatenate([[mean[k] - mean[:k] @ w], w])
+
+
+def ridge_cv(moments: list[np.ndarray], alphas) -> list[list[float]]:
+    """R^2 on each fold of the ridge fitted on the others, for each alpha; exact, from the fold matrices alone."""
+    whole = sum(moments)
+    out = []
+    for alpha in alphas:
+        scores = []
+        for m in moments:
+            b = np.concatenate([ridge_solution(whole - m, alpha), [-1.0]])
+            sse, n = b @ m @ b, m[0, 0]
+            sst = m[-1, -1] - m[0, -1] ** 2 / max(n, 1.0)
+            scores.append(float(1 - sse / sst) if sst > 0 else 0.0)
+        out.append(scores)
+    return out
+
+
+def boosted_cv(est: GBTRegressor, sizes: list[int], shapes: list[dict], data: DataFrame, folds: int, parallelism: int) -> dict:
+    """R^2 per fold for each (shape, number of trees).  A boosted model of n trees is the first n trees of a
+    longer one, so one fit of the longest per shape and fold gives the scores of all its prefixes."""
+    def run(job):
+        shape, f = job
+        model = est.copy({est.maxIter: max(sizes), **{getattr(est, k): v for k, v in shapes[shape].items()}}).fit(data.where(F.col("fold") != f))
+        valid = data.where(F.col("fold") == f)
+        errors = model.evaluateEachIteration(valid, "squared")
+        spread = valid.agg(F.var_pop(LABEL)).first()[0]
+        return [((shape, n), 1 - errors[n - 1] / spread) for n in sizes]
+
+    scores: dict = {}
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        for got in pool.map(run, [(s, f) for s in range(len(shapes)) for f in range(folds)]):
+            for key, r2 in got:
+                scores.setdefault(key, []).append(r2)
+    return scores
+
+
+def compare_regressors(train: DataFrame, folds: int = 5, parallelism: int | None = None) -> DataFrame:
     """5-fold CV R^2 (mean, std) per candidate (M3) -> one row per model.
 
-    The folds of a candidate are independent Spark jobs submitted
-    concurrently (at most ``parallelism`` fits hold driver memory at once);
-    the data is cached once for all candidates."""
-    std, n = _label_stats(train)
-    n_fit = n * (folds - 1) / folds
+    Ridge comes exactly from one pass over the rows; the tree candidates' folds
+    are all submitted together; the data is cached once for all candidates."""
+    parallelism = parallelism or _concurrent(train)
     data = fold_column(train, ["claim_key"], folds).persist(StorageLevel.MEMORY_AND_DISK)
-    rows = []
-    for name, est in candidates(std, n_fit).items():
-        mean, sd = parallel_cv(est, [], data, _r2(), folds, parallelism)
-        rows.append((name, float(mean[0]), float(sd[0])))
+    data.count()
+    std, n = _label_stats(train)
+    trees = {k: e for k, e in candidates(std, n).items() if k != "Ridge"}
+    with ThreadPoolExecutor(max_workers=len(trees)) as pool:
+        futures = {k: pool.submit(parallel_cv, e, [], data, _r2(), folds, parallelism) for k, e in trees.items()}
+        rows = [(k, float(f.result()[0][0]), float(f.result()[1][0])) for k, f in futures.items()]
+    ridge = ridge_cv(fold_moments(data, folds), [1.0])[0]
+    rows.append(("Ridge", statistics.fmean(ridge), statistics.pstdev(ridge)))
     data.unpersist()
     return train.sparkSession.createDataFrame(rows, "model_name string, cv_r2_mean double, cv_r2_std double")
 
@@ -118,31 +198,46 @@ def cost_tier_thresholds(df: DataFrame, col: str = "charges") -> dict:
     return global_quantiles(df, col, [0.25, 0.5, 0.75, 0.9])
 
 
-def fit_cost(matrix: DataFrame, folds: int = 5, tune_folds: int = 3, parallelism: int = 4) -> CostModel:
+def _tuned(name: str, train: DataFrame, tune_folds: int, parallelism: int):
+    """The winner's estimator and its best parameters by cross-validation over its grid (for Ridge: alpha)."""
+    std, n = _label_stats(train)
+    est = candidates(std, n)[name]
+    data = fold_column(train, ["claim_key"], tune_folds).persist(StorageLevel.MEMORY_AND_DISK)
+    data.count()
+    if name == "Ridge":
+        alphas = [0.1, 1.0, 10.0]
+        scores = [statistics.fmean(s) for s in ridge_cv(fold_moments(data, tune_folds), alphas)]
+        best = alphas[max(range(len(alphas)), key=lambda i: scores[i])]
+    elif name == "GradientBoosting":
+        sizes, shapes = [100, 200], [{"maxDepth": d, "stepSize": s} for d in (3, 4) for s in (0.05, 0.1)]
+        scores = {k: statistics.fmean(v) for k, v in boosted_cv(est, sizes, shapes, data, tune_folds, parallelism).items()}
+        shape, size = max(scores, key=lambda k: scores[k])
+        best = {est.maxIter: size, est.maxDepth: shapes[shape]["maxDepth"], est.stepSize: shapes[shape]["stepSize"]}
+    else:
+        grid = param_grid(name, est, std, n)
+        means, _ = parallel_cv(est, grid, data, _r2(), tune_folds, parallelism)
+        best = grid[max(range(len(means)), key=lambda i: means[i])]
+    data.unpersist()
+    return est, best
+
+
+def fit_cost(matrix: DataFrame, folds: int = 5, tune_folds: int = 3, parallelism: int | None = None) -> CostModel:
     """M3-M6 end to end on rows with (claim_key, features, log_charges, charges)."""
     data = matrix.select("claim_key", "features", LABEL, "charges").persist(StorageLevel.MEMORY_AND_DISK)
     tiers = cost_tier_thresholds(data)
     train, test = hash_split(data, ["claim_key"])
     sel = compare_regressors(train, folds, parallelism).collect()
     best = max(sel, key=lambda r: r["cv_r2_mean"])
-    std, n = _label_stats(train)
-    est = candidates(std, n * (tune_folds - 1) / tune_folds)[best["model_name"]]
-    grid = param_grid(best["model_name"], est, std, n * (tune_folds - 1) / tune_folds)
-    tune_data = fold_column(train, ["claim_key"], tune_folds).persist(StorageLevel.MEMORY_AND_DISK)
-    means, _ = parallel_cv(est, grid, tune_data, _r2(), tune_folds, parallelism)
-    tune_data.unpersist()
-    best_params = grid[max(range(len(means)), key=lambda i: means[i])]
+    est, best_params = _tuned(best["model_name"], train, tune_folds, parallelism or _concurrent(train))
     # the tuned model on the training split (for the hold-out numbers) and the
     # refit on every row are independent: fit both at once
-    final_est = est.copy(best_params)
+    ests = [est, est]
     if best["model_name"] == "Ridge":
-        s_all, n_all = _label_stats(data)
-        alpha = best_params[est.regParam] * (n * (tune_folds - 1) / tune_folds) / std
-        final_est = final_est.setRegParam(alpha * s_all / n_all)
-    from concurrent.futures import ThreadPoolExecutor
+        ests = [_ridge(best_params, *_label_stats(rows)) for rows in (train, data)]
+        best_params = {}
     with ThreadPoolExecutor(max_workers=2) as pool:
-        f_train = pool.submit(est.fit, train, best_params)
-        f_all = pool.submit(final_est.fit, data)
+        f_train = pool.submit(ests[0].fit, train, best_params)
+        f_all = pool.submit(ests[1].fit, data, best_params)
         tuned_model, final = f_train.result(), f_all.result()
     holdout = tuned_model.transform(test).withColumn("_pred_raw", F.expm1("prediction"))
     ev = regression_metrics(holdout, "charges", "_pred_raw").first().asDict()

@@ -66,7 +66,7 @@ def assert_valid(report: DataFrame) -> None:
 def normalize_strings(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """strip + lower every string column (V5)."""
     cols = cols if cols is not None else [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    return df.select(*[F.lower(F.trim(F.col(c))).alias(c) if c in cols else F.col(c) for c in df.columns])
+    return df.select(*[F.lower(E.strip(c)).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
 def lower_columns(df: DataFrame) -> DataFrame:
@@ -130,4 +130,4 @@ def request_to_claim(df: DataFrame) -> DataFrame:
     """Request -> claim row (V10): smoker bool -> yes/no, gender -> sex, trimmed region."""
     return (df.withColumn("smoker", F.when(F.col("smoker"), F.lit("yes")).otherwise(F.lit("no")))
               .withColumnRenamed("gender", "sex")
-              .withColumn("region", F.trim("region")))
+              .withColumn("region", E.strip("region")))

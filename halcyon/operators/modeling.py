@@ -33,19 +33,19 @@ def fold_column(df: DataFrame, key_cols: Sequence[str], k: int, seed: int = SEED
     return df.withColumn(out, F.floor(hash_unit(key_cols, seed, salt=7) * k).cast("int"))
 
 
-MIN_ROWS_PER_PARTITION = 50_000
-MAX_ROWS_PER_PARTITION = 1_000_000
+ROWS_PER_PARTITION = 50_000
 
 
-def size_partitions(df: DataFrame, n_rows: int | None = None) -> DataFrame:
-    """Repartition a model input: every core busy once each partition still
-    holds >= 50k rows (iterative learners launch several jobs per iteration,
-    so tinier partitions only add task overhead), and never more than 1M rows
-    per partition (bounded memory per task at scale)."""
+def size_partitions(df: DataFrame, n_rows: int | None = None, key: str = "claim_key") -> DataFrame:
+    """Repartition a model input into pieces of about 50k rows, by the hash of
+    its key and in key order within a piece.  Learners that draw samples per
+    partition then see the same rows in the same order on any cluster: the number
+    of pieces follows the rows, not the cores."""
     n = n_rows if n_rows is not None else df.count()
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    parts = max(-(-n // MAX_ROWS_PER_PARTITION), min(cores, -(-n // MIN_ROWS_PER_PARTITION)), 1)
-    return df.repartition(parts)
+    parts = max(-(-n // ROWS_PER_PARTITION), 1)
+    if key not in df.columns:
+        return df.repartition(parts)
+    return df.repartition(parts, key).sortWithinPartitions(key)
 
 
 def model_matrix(claims: DataFrame, pre: Preprocessor | None = None) -> tuple[DataFrame, Preprocessor]:

@@ -1,7 +1,7 @@
 """Note models: ICD-10 code classifier (N12-N16, W3) and LDA topics.
 
 Features are Spark ML stages end to end: tokens + bigrams (native array
-expressions) -> ``CountVectorizer`` (top terms by corpus count) -> ``IDF`` ->
+expressions) -> ``CountVectorizerModel`` (top terms by corpus count) -> ``IDF`` ->
 ``ElementwiseProduct`` by (idf + 1) -> L2 ``Normalizer``.  MLlib's IDF is
 ln((n+1)/(df+1)); multiplying the counts by idf + 1 gives the smooth idf
 ln((n+1)/(df+1)) + 1, so the weights equal the SQL TF-IDF of ``text.py``.
@@ -15,7 +15,7 @@ from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, IDF, Normalizer, StringIndexer
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, IDF, Normalizer, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
@@ -53,7 +53,10 @@ def fit_tfidf_stages(df: DataFrame, terms: str = "terms", max_terms: int = 5000,
                      out: str = "tfidf") -> PipelineModel:
     """CountVectorizer + IDF fitted once; the +1 of the smooth idf is folded in
     with an ElementwiseProduct built from the fitted idf vector (max_terms values)."""
-    cv = CountVectorizer(inputCol=terms, outputCol="_tf", vocabSize=max_terms, minDF=1.0)
+    # the vocabulary by (count desc, term): ties do not depend on partitions
+    counts = df.select(F.explode(terms).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    vocab = [r["t"] for r in counts.orderBy(F.desc("n"), "t").limit(max_terms).collect()]
+    cv = CountVectorizerModel.from_vocabulary(vocab, inputCol=terms, outputCol="_tf")
     idf = IDF(inputCol="_tf", outputCol="_idf_raw")
     base = Pipeline(stages=[cv, idf]).fit(df)
     idf_vec = base.stages[1].idf.toArray()
@@ -156,12 +159,12 @@ class TopicModel:
 
 def fit_topics(notes: DataFrame, text: str = "clinical_note", k: int = 5, max_terms: int = 5000,
                max_iter: int = 20) -> TopicModel:
-    """LDA with k topics (seed 42, online optimiser) on the TF-IDF of the
-    cleaned notes (N9); topic labels from the top-10 terms (N10)."""
-    data = size_partitions(with_terms(notes.select(text), text, clean=True)).persist(StorageLevel.MEMORY_AND_DISK)
+    """LDA with k topics (seed 42, online optimiser; every one of the ``max_iter``
+    iterations reads all notes) on the TF-IDF of the cleaned notes (N9); topic labels from the top-10 terms (N10)."""
+    data = size_partitions(with_terms(notes.select(*[c for c in ("claim_key", text) if c in notes.columns]), text, clean=True)).persist(StorageLevel.MEMORY_AND_DISK)
     tf = fit_tfidf_stages(data, "terms", max_terms)
     vec = tf.transform(data)
-    lda = LDA(k=k, seed=SEED, featuresCol="tfidf", optimizer="online", maxIter=max_iter).fit(vec)
+    lda = LDA(k=k, seed=SEED, featuresCol="tfidf", optimizer="online", maxIter=max_iter, subsamplingRate=1.0).fit(vec)
     vocab = tf.stages[0].vocabulary
     desc = lda.describeTopics(10).collect()   # k rows x 10 term ids
     spark = notes.sparkSession

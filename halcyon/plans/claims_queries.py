@@ -24,9 +24,9 @@ ENC_SQL = """
 enc AS (
   SELECT claim_key, age, bmi, children, charges, region AS region_name, sex AS sex_name,
          smoker AS smoker_name, clinical_note, icd_code,
-         CASE WHEN lower(trim(smoker)) IN ('yes','true','1') THEN 1 ELSE 0 END AS smoker,
-         CASE WHEN lower(trim(sex)) IN ('male','true','1') THEN 1 ELSE 0 END AS sex,
-         CASE lower(trim(region)) WHEN 'northeast' THEN 0 WHEN 'northwest' THEN 1
+         CASE WHEN lower(regexp_replace(smoker, '^[[:space:]]+|[[:space:]]+$', '', 'g')) IN ('yes','true','1') THEN 1 ELSE 0 END AS smoker,
+         CASE WHEN lower(regexp_replace(sex, '^[[:space:]]+|[[:space:]]+$', '', 'g')) IN ('male','true','1') THEN 1 ELSE 0 END AS sex,
+         CASE lower(regexp_replace(region, '^[[:space:]]+|[[:space:]]+$', '', 'g')) WHEN 'northeast' THEN 0 WHEN 'northwest' THEN 1
               WHEN 'southeast' THEN 2 WHEN 'southwest' THEN 3 ELSE 0 END AS region,
          CASE WHEN age > 0 AND age <= 25 THEN 'youth' WHEN age > 25 AND age <= 35 THEN 'young_adult'
               WHEN age > 35 AND age <= 45 THEN 'adult' WHEN age > 45 AND age <= 55 THEN 'middle_aged'
@@ -112,8 +112,8 @@ def q_validation_report(spark, sf_dir):
 
 
 @register("normalize_strings", with_claims(CLAIM_REQUESTS) + """
-SELECT claim_key, age, lower(trim(gender)) AS gender, bmi, children, smoker,
-       lower(trim(region)) AS region, lower(trim(clinical_note)) AS clinical_note
+SELECT claim_key, age, lower(regexp_replace(gender, '^[[:space:]]+|[[:space:]]+$', '', 'g')) AS gender, bmi, children, smoker,
+       lower(regexp_replace(region, '^[[:space:]]+|[[:space:]]+$', '', 'g')) AS region, lower(regexp_replace(clinical_note, '^[[:space:]]+|[[:space:]]+$', '', 'g')) AS clinical_note
 FROM claim_requests""")
 def q_normalize_strings(spark, sf_dir):
     return V.normalize_strings(claim_requests(spark, sf_dir))
@@ -153,8 +153,8 @@ def q_claim_id(spark, sf_dir):
 _CANON_SQL = """
 canon AS (
   SELECT claim_key, age, bmi, children, smoker, clinical_note,
-         CASE lower(trim(gender)) WHEN 'male' THEN 'Male' WHEN 'female' THEN 'Female' ELSE gender END AS gender,
-         CASE lower(trim(region)) WHEN 'northeast' THEN 'Northeast' WHEN 'northwest' THEN 'Northwest'
+         CASE lower(regexp_replace(gender, '^[[:space:]]+|[[:space:]]+$', '', 'g')) WHEN 'male' THEN 'Male' WHEN 'female' THEN 'Female' ELSE gender END AS gender,
+         CASE lower(regexp_replace(region, '^[[:space:]]+|[[:space:]]+$', '', 'g')) WHEN 'northeast' THEN 'Northeast' WHEN 'northwest' THEN 'Northwest'
               WHEN 'southeast' THEN 'Southeast' WHEN 'southwest' THEN 'Southwest' ELSE region END AS region
   FROM claim_requests
 ),
@@ -191,7 +191,7 @@ def q_rejected(spark, sf_dir):
 
 @register("request_to_claim", with_claims(CLAIM_REQUESTS, _CANON_SQL) + """
 SELECT claim_key, age, gender AS sex, bmi, children, CASE WHEN smoker THEN 'yes' ELSE 'no' END AS smoker,
-       trim(region) AS region
+       regexp_replace(region, '^[[:space:]]+|[[:space:]]+$', '', 'g') AS region
 FROM checked WHERE reasons = ''""")
 def q_request_to_claim(spark, sf_dir):
     ok, _ = V.split_valid_rejected(claim_requests(spark, sf_dir))

@@ -76,6 +76,7 @@ claim_requests AS (
          CASE WHEN claim_key % 19 = 0 THEN children + 9 ELSE children END AS children,
          (smoker = 'yes') AS smoker,
          CASE WHEN claim_key % 7 = 3 THEN '  ' || upper(region) || ' '
+              WHEN claim_key % 7 = 4 THEN chr(9) || region || chr(13)
               WHEN claim_key % 23 = 0 THEN 'central'
               ELSE region END AS region,
          CASE WHEN claim_key % 3 = 1 THEN CAST(NULL AS VARCHAR) ELSE clinical_note END AS clinical_note

@@ -55,8 +55,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and staged tables.
 
     Read from the session (``spark.checkpoint.dir`` or the context's
-    checkpoint dir).  Only when nothing is configured — local runs and tests —
-    a private folder is created and registered.
+    checkpoint dir).  Only in local runs and tests, with nothing configured, is a
+    private folder created and registered; on a cluster that is an error.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
@@ -64,6 +64,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="halcyon-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d

@@ -151,6 +151,7 @@ def claim_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 19 == 0, F.col("children") + 9).otherwise(F.col("children")).alias("children"),
         (F.col("smoker") == "yes").alias("smoker"),
         F.when(k % 7 == 3, F.concat(F.lit("  "), F.upper("region"), F.lit(" ")))
+         .when(k % 7 == 4, F.concat(F.lit("\t"), F.col("region"), F.lit("\r")))
          .when(k % 23 == 0, F.lit("central"))
          .otherwise(F.col("region")).alias("region"),
         F.when(k % 3 == 1, F.lit(None).cast("string")).otherwise(F.col("clinical_note")).alias("clinical_note"),
