@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from halcyon.session import cut_lineage, ship_package
@@ -37,6 +38,19 @@ def rows_per_batch(spark: SparkSession, rows: int):
         spark.conf.set(name, before)
 
 
+#: rows of documents passed to Python at once (about 3 MB of text)
+DOCUMENT_ROWS = 1000
+
+
+def lean(run):
+    """``run`` (a mapInArrow function that treats batches one by one), giving Arrow's free memory back after each batch."""
+    def each(batches):
+        for b in batches:
+            yield from run(iter([b]))
+            pa.default_memory_pool().release_unused()
+    return each
+
+
 def parts(total: float, per_part: float, least: int = 1) -> int:
     """How many pieces of ``per_part`` hold ``total``; follows the data only, never the cluster."""
     return max(least, math.ceil((total or 0) / per_part))

@@ -38,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from halcyon.llm.common import rows_per_batch, small, staged, table
+from halcyon.llm.common import DOCUMENT_ROWS, lean, rows_per_batch, small, staged, table
 from halcyon.llm.components import connected_components
 from halcyon.llm.words import groups, hashed, mix, shingle_set
 from halcyon.plans.registry import register
@@ -209,7 +209,7 @@ def _sets_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """node, shingles for the documents named in ``nodes``."""
     nodes = small(nodes.withColumnRenamed("node", "wanted"))
     texts = docs.join(nodes, docs["doc_id"] == nodes["wanted"], "left_semi")
-    return staged(texts.select("doc_id", "text").mapInArrow(_full_sets, "node long, shingles binary"))
+    return staged(texts.select("doc_id", "text").mapInArrow(lean(_full_sets), "node long, shingles binary"))
 
 
 def _measured(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -218,13 +218,18 @@ def _measured(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b"))
     with rows_per_batch(docs.sparkSession, 512):
-        return staged(both.select("a", "b", "x", "y").mapInArrow(_similarity, "a long, b long, common long, either long"))
+        return staged(both.select("a", "b", "x", "y").mapInArrow(lean(_similarity), "a long, b long, common long, either long"))
 
 
 def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
+    with rows_per_batch(docs.sparkSession, DOCUMENT_ROWS):
+        return _near_duplicates(docs, share)
+
+
+def _near_duplicates(docs: DataFrame, share: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    all_docs = staged(docs.mapInArrow(_sketches, _SKETCH_DDL))
+    all_docs = staged(docs.mapInArrow(lean(_sketches), _SKETCH_DDL))
     full = all_docs.where("n_shingles > 0 AND doc_id IS NOT NULL")
     same = ["set_a", "set_b", "n_shingles"]
     traits = ["bands", *TRAITS]

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from halcyon.llm.common import table
+from halcyon.llm.common import lean, table
 from halcyon.llm.words import groups, hashed
 from halcyon.plans.registry import register
 
@@ -169,7 +169,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, score of every row of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_scorer(shared), "doc_id long, score double")
+    return rows.mapInArrow(lean(_scorer(shared)), "doc_id long, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -190,7 +190,7 @@ def _passing(shared):
 def without_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """``docs`` without the rows predicted toxic, decided in one pass over the rows as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, **options))
-    return docs.mapInArrow(_passing(shared), docs.schema)
+    return docs.mapInArrow(lean(_passing(shared)), docs.schema)
 
 
 @register("op5_toxicity")
