@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from halcyon.operators.features import FEATURES
-from halcyon.operators.modeling import SEED, hash_split
+from halcyon.operators.modeling import SEED, stratified_split
 from halcyon.operators.stats import auc, binary_metrics, confusion, roc_points
 
 LABEL = "approved"
@@ -65,7 +65,7 @@ def fit_approval(matrix: DataFrame, num_trees: int = 300, min_split: int = 10,
     Returns the model and the scored hold-out rows."""
     data = matrix.select("claim_key", "features", F.col(LABEL).cast("double").alias(LABEL)) \
         .persist(StorageLevel.MEMORY_AND_DISK)
-    train, test = hash_split(data, ["claim_key"])
+    train, test = stratified_split(data, LABEL, ["claim_key"])
     train, _ = with_balanced_weight(train)
     rf = RandomForestClassifier(featuresCol="features", labelCol=LABEL, weightCol="class_weight",
                                 numTrees=num_trees, minInstancesPerNode=max(1, min_split // 2),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from halcyon.operators.features import FEATURES, Preprocessor, assemble
@@ -22,12 +22,38 @@ def hash_unit(key_cols: Sequence[str], seed: int = SEED, salt: int = 0) -> F.Col
 
 def hash_split(df: DataFrame, key_cols: Sequence[str], test_share: float = TEST_SHARE,
                seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(train, test) by a hash of the key (M1).  Within any class the share is
-    the same in expectation, so it also serves as the stratified split (M2)."""
+    """(train, test) by a hash of the key (M1)."""
     u = hash_unit(key_cols, seed)
     return df.where(u >= test_share), df.where(u < test_share)
 
 
+#: rows of a class that one task ranks at once, about
+STRATUM_ROWS = 20_000
+
+
+def stratified_split(df: DataFrame, label: str, key_cols: Sequence[str], test_share: float = TEST_SHARE,
+                     seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """(train, test) with exactly the rounded share of every class in test, and at
+    least one row on either side for a class of two rows or more (M2).
+
+    Rows are ranked by the key's hash within their class.  The hash is cut into
+    ranges of about ``STRATUM_ROWS`` rows; a range ranks its rows by itself and
+    starts where the counts of the class's earlier ranges end, so a class that
+    holds most rows is many tasks."""
+    ranges = max(1, -(-df.count() // STRATUM_ROWS))
+    rows = df.withColumn("_u", hash_unit(key_cols, seed)).withColumn("_range", F.floor(F.col("_u") * ranges).cast("int"))
+    counts = rows.groupBy(F.col(label).alias("_class"), "_range").agg(F.count(F.lit(1)).alias("_n"))
+    line = Window.partitionBy("_class").orderBy("_range")
+    counts = counts.select("_class", F.col("_range").alias("_r"),
+                           F.coalesce(F.sum("_n").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+                           F.sum("_n").over(Window.partitionBy("_class")).alias("_all"))
+    rows = rows.join(counts, F.col(label).eqNullSafe(F.col("_class")) & (F.col("_range") == F.col("_r")))
+    rank = F.col("_before") + F.row_number().over(Window.partitionBy("_class", "_range").orderBy("_u", *key_cols))
+    wanted = F.when(F.col("_all") < 2, 0).otherwise(F.least(F.greatest(F.round(F.col("_all") * test_share), F.lit(1.0)), F.col("_all") - 1))
+    rows = rows.withColumn("_test", rank <= wanted)
+    return tuple(rows.where(side).select(*df.columns) for side in (~F.col("_test"), F.col("_test")))
+
+
 def fold_column(df: DataFrame, key_cols: Sequence[str], k: int, seed: int = SEED, out: str = "fold") -> DataFrame:
     """Deterministic fold id 0..k-1 for ``CrossValidator(foldCol=...)``."""
     return df.withColumn(out, F.floor(hash_unit(key_cols, seed, salt=7) * k).cast("int"))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from halcyon.functions.notes import clean_note
 from halcyon.operators.analytics import icd_describe
-from halcyon.operators.modeling import SEED, hash_split, size_partitions
+from halcyon.operators.modeling import SEED, size_partitions, stratified_split
 from halcyon.operators.stats import class_report, class_summary, weighted_ovr_auc
 from halcyon.operators.text import english_stop_words, tokens, with_bigrams
 
@@ -90,10 +90,10 @@ class IcdModel:
 def fit_icd(notes: DataFrame, text: str = "clinical_note", label: str = "icd_code", key: str = "claim_key",
             max_terms: int = 3000, c: float = 1.0, max_iter: int = 1000) -> tuple[IcdModel, DataFrame]:
     """TF-IDF (1-2 grams, top 3,000) + multinomial logistic regression with
-    C = 1 (regParam = 1 / (C * n)), stratified 80/20 by key hash (N12).
+    C = 1 (regParam = 1 / (C * n)), stratified 80/20 (N12).
     Returns the model and the hold-out rows with predictions."""
     data = size_partitions(with_terms(notes.select(key, text, label), text)).persist(StorageLevel.MEMORY_AND_DISK)
-    train, test = hash_split(data, [key])
+    train, test = stratified_split(data, label, [key])
     n = train.count()
     tf = fit_tfidf_stages(train, "terms", max_terms)
     idx = StringIndexer(inputCol=label, outputCol="label_idx", stringOrderType="alphabetAsc").fit(train)

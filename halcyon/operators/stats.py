@@ -165,15 +165,22 @@ def reference_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         F.min("value").alias("min"), F.max("value").alias("max"), F.count("value").alias("n"))
 
 
-def feature_drift(reference: DataFrame, current: DataFrame, cols: Sequence[str]) -> DataFrame:
+def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(feature, value, n): all that drift needs of a sample."""
+    return unpivot(df, cols).where(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def feature_drift(reference: DataFrame, current: DataFrame, cols: Sequence[str], counted: bool = False) -> DataFrame:
     """Two-sample KS statistic D per feature plus means and shift %.
 
     Both samples go into one (feature, value) count table with per-side
     weights; D is the max gap of the two empirical CDFs over the distinct
-    values, computed with the distributed cumulative counts.
+    values, computed with the distributed cumulative counts.  With ``counted``
+    the reference is its ``value_counts`` table.
     """
-    r = unpivot(reference, cols).select("feature", "value", F.lit(1).alias("_r"), F.lit(0).alias("_c"))
-    c = unpivot(current, cols).select("feature", "value", F.lit(0).alias("_r"), F.lit(1).alias("_c"))
+    r = reference if counted else unpivot(reference, cols).withColumn("n", F.lit(1).cast("long"))
+    r = r.select("feature", "value", F.col("n").alias("_r"), F.lit(0).cast("long").alias("_c"))
+    c = unpivot(current, cols).select("feature", "value", F.lit(0).cast("long").alias("_r"), F.lit(1).cast("long").alias("_c"))
     both = r.unionByName(c).where(F.col("value").isNotNull())
     cc = cumulative_counts(both, "value", by=["feature"], weights={"r": F.col("_r"), "c": F.col("_c")})
     gap = F.abs(F.try_divide(F.col("cum_r"), F.col("tot_r")) - F.try_divide(F.col("cum_c"), F.col("tot_c")))
