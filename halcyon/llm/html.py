@@ -16,8 +16,8 @@ names and its other parts, mixed with sentences of the page, as menus, notices,
 comments, forms, side bars and so on.  The fit is one Spark group of that size.
 
 Defined results for odd input: null and empty html give the empty text; plain
-text without tags is one block and kept; unclosed and
-stray tags are repaired as browsers do for paragraphs, list items and cells;
+text without tags is one block and kept; a head without an end tag ends where
+something stands that a head cannot hold; other unclosed and stray tags are repaired as browsers do for paragraphs, list items and cells;
 rows that repeat and null ids are rows like any other; without any page to
 learn from, blocks outside excluded elements are kept; an empty table gives an
 empty result; other columns are ignored.
@@ -48,8 +48,9 @@ CHUNK = 200
 BLOCKS = ("html body main article section div nav header footer aside form fieldset p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody "
           "tfoot tr td th caption blockquote pre figure figcaption address details summary dialog hgroup center hr").split()
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
-HIDDEN = "script style noscript template textarea select option button svg iframe object head title canvas math".split()
+HIDDEN = "script style noscript template textarea select option button svg iframe object head title canvas".split()
 RAW = "script style textarea title noscript template iframe".split()
+IN_HEAD = frozenset("base link meta title script style noscript template head html".split())
 # The tags and attribute tokens that are features of their own.
 TAGS = "article main section div nav header footer aside form p h1 h2 h3 h4 ul li td blockquote pre figure".split()
 TOKENS = ("content article post main entry story body text nav menu header footer sidebar side aside ad ads advert advertisement promo banner sponsor "
@@ -125,6 +126,8 @@ def parse(page: str) -> list[Node]:
         at = m.end()
         tag = m.group(2)
         if m.group(4) is not None:
+            if stack[-1][0] == "head" and m.group(4).strip():
+                close(len(stack) - 1)
             if not hidden:
                 pieces.append(m.group(4))
                 linked += len(m.group(4)) if links else 0
@@ -143,6 +146,8 @@ def parse(page: str) -> list[Node]:
                 if not block and stack[k][0] in _BLOCKS:
                     break  # an inline end tag does not reach out of its block
             continue
+        if stack[-1][0] == "head" and tag not in IN_HEAD:
+            close(len(stack) - 1)
         if tag == "br":
             pieces.append(" ")
             continue

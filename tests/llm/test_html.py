@@ -71,3 +71,13 @@ def test_decoding_is_the_best_consistent_choice():
                 if value > best:
                     best, choice = value, keep
         assert html.decode(nodes, z) == "\n".join(f"t{k}" for k in range(3, 8) if choice[k - 1])
+
+
+def test_head_without_an_end_tag_and_math():
+    leaves = lambda p: [n.text for n in html.parse(p) if n.text]
+    assert leaves("<html><head><title>t</title><body><article><p>text") == ["text"]
+    assert leaves('<head><meta charset="x"><link href="y"><script>no()</script><p>a<p>b') == ["a", "b"]
+    assert leaves("<html><head><title>t</title>\n<noscript>no</noscript> words <b>more</b>") == ["words more"]
+    assert leaves("<html><head><title>t</title></head><body><p>text</p></body></html>") == ["text"]
+    assert leaves("<p>as <math><mi>x</mi><mo>=</mo><mn>2</mn></math> shows</p>") == ["as x=2 shows"]
+    assert html.extract(["<html><head><title>t</title><body><article><p>text"], None) == ["text"]
