@@ -132,15 +132,18 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of ``docs``: each row as often as it is taken whole, plus
-    a row for each word range taken of it (its words joined by spaces; ``n_chars`` follows the text)."""
+    a row for each word range taken of it (its words with the white space between them; ``n_chars`` follows the text)."""
     cols = docs.columns
     docs = docs.select("doc_id", "text", "source", *[F.col(c).alias(f"_{c}") for c in cols if c not in ("doc_id", "text")])
     rows = plan(docs, keep=("text", *[c for c in docs.columns if c[0] == "_"]), **options)
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    gaps = F.split("text", WORD, -1)  # before each word, and after the last
 
     def cut(a, b):
-        part = F.slice(words, (F.col(a) + 1).cast("int"), (F.col(b) - F.col(a)).cast("int"))
-        return F.when(F.col(b) > F.col(a), F.array_join(part, " "))
+        n = (F.col(b) - F.col(a)).cast("int")
+        part = F.slice(words, (F.col(a) + 1).cast("int"), n)
+        between = F.concat(F.slice(gaps, (F.col(a) + 2).cast("int"), n - 1), F.array(F.lit("")))
+        return F.when(F.col(b) > F.col(a), F.array_join(F.zip_with(part, between, lambda w, g: F.concat(w, g)), ""))
 
     whole = F.array_repeat(F.col("text"), F.col("whole").cast("int"))
     rows = rows.where("taken > 0").withColumn("piece", F.explode(F.concat(whole, F.array_compact(F.array(cut("a1", "b1"), cut("a2", "b2"))))))

@@ -78,3 +78,11 @@ def test_reruns_agree_and_texts_follow(frame):
         assert r["size"] == "extra"
     assert {r[0]: r[4] for r in a if r[4]} == dict(words)
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_parts_keep_their_white_space(spark):
+    text = "\n a\n\nb\tc  d\r\n e é " * 40
+    docs = spark.createDataFrame([(i, text, f"s{i % 3}") for i in range(30)], "doc_id long, text string, source string")
+    got = [r.text for r in mixing.mixed_texts(docs, block=7).collect()]
+    assert all(t in text for t in got) and any(t != text for t in got)
+    assert all(t == text or t[0] not in " \n" and t[-1] not in " \n" for t in got)
