@@ -1,3 +1,3 @@
 """Import every operator module so that its query registers."""
 
-from halcyon.llm import bpe, caps, fingerprint, html, infill, minhash, mixing, packing, passages, sharding, topk, toxicity  # noqa: F401
+from halcyon.llm import bpe, caps, fingerprint, html, infill, minhash, mixing, packing, passages, phrases, sharding, topk, toxicity  # noqa: F401
