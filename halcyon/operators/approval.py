@@ -4,21 +4,21 @@ confusion counts) and scoring with confidence bands and decision factors."""
 
 from __future__ import annotations
 
+import json
+import math
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from halcyon.operators import forest as T
 from halcyon.operators.features import FEATURES
 from halcyon.operators.modeling import SEED, stratified_split
 from halcyon.operators.stats import auc, binary_metrics, confusion, roc_points
 
 LABEL = "approved"
 THRESHOLD = 0.5
-MAX_DEPTH = 12        # unbounded-depth trees are capped for a distributed fit
 
 
 def with_balanced_weight(df: DataFrame, label: str = LABEL, out: str = "class_weight") -> tuple[DataFrame, dict]:
@@ -40,7 +40,8 @@ class ApprovalModel:
     threshold: float = THRESHOLD
 
     def probability(self, df: DataFrame) -> DataFrame:
-        return self.model.transform(df).withColumn("p_approve", vector_to_array("probability")[1])
+        """p_approve: the mean of the trees' weighted shares of approved rows in the leaf."""
+        return self.model.transform(df, out="p_approve")
 
     def predict(self, df: DataFrame) -> DataFrame:
         """approved, probability (4 dp), confidence band, decision factors."""
@@ -52,25 +53,34 @@ class ApprovalModel:
                         F.array(*[F.lit(f) for f in self.factors]).alias("decision_factors"))
 
 
-def decision_factors(model, names=FEATURES, top: int = 3) -> list:
+    def save(self, spark: SparkSession, path: str) -> None:
+        state = {"factors": self.factors, "evaluation": self.evaluation, "threshold": self.threshold}
+        spark.createDataFrame([(json.dumps(state),)], "state string").coalesce(1).write.mode("overwrite").json(f"{path}/state")
+        self.model.save(spark, f"{path}/model")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "ApprovalModel":
+        state = json.loads(spark.read.json(f"{path}/state").first()["state"])
+        return cls(model=T.TreeEnsemble.load(spark, f"{path}/model"), **state)
+
+
+def decision_factors(model: T.TreeEnsemble, names=FEATURES, top: int = 3) -> list:
     """The 3 most important features (W5): 22 numbers sorted on the driver."""
-    imp = model.featureImportances.toArray()
+    imp = model.importances
     order = sorted(range(len(imp)), key=lambda i: (-imp[i], i))[:top]
     return [names[i] for i in order if i < len(names)]
 
 
-def fit_approval(matrix: DataFrame, num_trees: int = 300, min_split: int = 10,
-                 max_depth: int = MAX_DEPTH) -> tuple[ApprovalModel, DataFrame]:
+def fit_approval(matrix: DataFrame, num_trees: int = 300, min_split: int = 10) -> tuple[ApprovalModel, DataFrame]:
     """Fit on the stratified 80 % and evaluate on the 20 % hold-out.
-    Returns the model and the scored hold-out rows."""
+    Returns the model and the scored hold-out rows.  Trees are as deep as their rows make them; each
+    node tries the square root of the number of features."""
     data = matrix.select("claim_key", "features", F.col(LABEL).cast("double").alias(LABEL)) \
         .persist(StorageLevel.MEMORY_AND_DISK)
     train, test = stratified_split(data, LABEL, ["claim_key"])
     train, _ = with_balanced_weight(train)
-    rf = RandomForestClassifier(featuresCol="features", labelCol=LABEL, weightCol="class_weight",
-                                numTrees=num_trees, minInstancesPerNode=max(1, min_split // 2),
-                                maxDepth=max_depth, seed=SEED, maxBins=64)
-    model = rf.fit(train)
+    rows = T.bin_rows(train, ["claim_key"], LABEL, weight="class_weight")
+    model = T.fit_forest(rows, T.Spec(num_trees, min_split, max(1, math.isqrt(rows.width)), SEED))
     am = ApprovalModel(model=model, factors=decision_factors(model))
     scored = am.probability(test).withColumn("pred", (F.col("p_approve") >= am.threshold).cast("int"))
     m = binary_metrics(scored, LABEL, "pred").first().asDict()

@@ -2,12 +2,15 @@
 grid tuning of the winner, hold-out evaluation on the raw scale, refit on all
 rows, and scoring with a +/-18 % band and a cost tier.
 
-All fitting is Spark ML on the cached (features, label) rows; folds come from
-a hash of the claim key so they do not depend on partitioning.
+Trees come from ``forest``: all folds of a forest grow at once, without a limit on their depth, and one fit
+per fold and shape answers every grid point that is a part of it.  Boosted models of up to
+``forest.BOOST_ROWS`` rows are fitted one fit a group; beyond, Spark ML's boosting scans the rows once per level.
+Ridge is exact from one Gram matrix per fold.  Folds come from a hash of the claim key, so nothing depends on partitioning.
 """
 
 from __future__ import annotations
 
+import json
 import statistics
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -15,24 +18,39 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from halcyon.operators import forest as T
 from halcyon.operators.features import FEATURES
-from halcyon.operators.modeling import SEED, coefficients_table, fold_column, hash_split, parallel_cv
+from halcyon.operators.modeling import SEED, coefficients_table, fold_column, hash_split
 from halcyon.operators.ranks import global_quantiles
 from halcyon.operators.stats import regression_metrics
 
 LABEL = "log_charges"
 CI_SHARE = 0.18
-RF_MAX_DEPTH = 30      # "unbounded": the deepest trees that Spark ML grows
 TREE_MEMORY_MB = 1024  # statistics of a whole tree level fit, so a level is one pass
 
 
+@dataclass(frozen=True)
+class Protocol:
+    """How candidates are compared and the winner is tuned; the defaults are the reference values."""
+    folds: int = 5
+    tune_folds: int = 3
+    boost_trees: int = 100
+    boost_shape: tuple = (3, 0.1)                                     # depth, rate
+    boost_sizes: tuple = (100, 200)
+    boost_shapes: tuple = ((3, 0.05), (4, 0.05), (3, 0.1), (4, 0.1))
+    forest_trees: int = 100
+    forest_sizes: tuple = (100, 200)
+    forest_depths: tuple = (None, 10)
+    alpha: float = 1.0
+    alphas: tuple = (0.1, 1.0, 10.0)
+
+
 def _ridge(alpha: float, label_std: float, n: float) -> LinearRegression:
     """Ridge(alpha) as MLlib's normal-equation solver: MLlib scales the
     objective by the label std and 1/n, so regParam = alpha * std(y) / n."""
@@ -40,30 +58,14 @@ def _ridge(alpha: float, label_std: float, n: float) -> LinearRegression:
                             elasticNetParam=0.0, standardization=False, solver="normal")
 
 
-def candidates(label_std: float, n: float) -> dict:
-    return {
-        "GradientBoosting": GBTRegressor(featuresCol="features", labelCol=LABEL, maxIter=100, maxDepth=3,
-                                         stepSize=0.1, seed=SEED, maxBins=64, maxMemoryInMB=TREE_MEMORY_MB),
-        "RandomForest": RandomForestRegressor(featuresCol="features", labelCol=LABEL, numTrees=100,
-                                              maxDepth=RF_MAX_DEPTH, seed=SEED, maxBins=64, maxMemoryInMB=TREE_MEMORY_MB),
-        "Ridge": _ridge(1.0, label_std, n),
-    }
-
-
-def param_grid(name: str, est, label_std: float, n: float):
-    g = ParamGridBuilder()
-    if name == "RandomForest":
-        return g.addGrid(est.numTrees, [100, 200]).addGrid(est.maxDepth, [RF_MAX_DEPTH, 10]).build()
-    raise ValueError(f"no grid for {name}")
-
-
 def _label_stats(df: DataFrame) -> tuple[float, float]:
     r = df.agg(F.stddev_pop(LABEL).alias("s"), F.count(F.lit(1)).alias("n")).first()
     return float(r["s"] or 1.0), float(r["n"])
 
 
-def _r2() -> RegressionEvaluator:
-    return RegressionEvaluator(labelCol=LABEL, metricName="r2")
+def _gbt(trees: int, depth: int, rate: float) -> GBTRegressor:
+    return GBTRegressor(featuresCol="features", labelCol=LABEL, maxIter=trees, maxDepth=depth, stepSize=rate, seed=SEED, maxBins=64,
+                        maxMemoryInMB=TREE_MEMORY_MB, cacheNodeIds=True)
 
 
 def _concurrent(train: DataFrame) -> int:
@@ -141,22 +143,27 @@ def boosted_cv(est: GBTRegressor, sizes: list[int], shapes: list[dict], data: Da
     return scores
 
 
-def compare_regressors(train: DataFrame, folds: int = 5, parallelism: int | None = None) -> DataFrame:
-    """5-fold CV R^2 (mean, std) per candidate (M3) -> one row per model.
+def _boosting_cv(data: DataFrame, binned: T.Binned, folds: int, shapes, sizes) -> dict:
+    """{(shape, size): R^2 per fold} of boosted models, by the way that fits the number of rows."""
+    if binned.n <= T.BOOST_ROWS:
+        return T.cv_boost(binned, folds, shapes, sizes)
+    grid = [{"maxDepth": d, "stepSize": r} for d, r in shapes]
+    return boosted_cv(_gbt(max(sizes), *shapes[0]), list(sizes), grid, data, folds, _concurrent(data))
+
 
-    Ridge comes exactly from one pass over the rows; the tree candidates' folds
-    are all submitted together; the data is cached once for all candidates."""
-    parallelism = parallelism or _concurrent(train)
+def _folds(train: DataFrame, folds: int) -> tuple[DataFrame, T.Binned]:
     data = fold_column(train, ["claim_key"], folds).persist(StorageLevel.MEMORY_AND_DISK)
-    data.count()
-    std, n = _label_stats(train)
-    trees = {k: e for k, e in candidates(std, n).items() if k != "Ridge"}
-    with ThreadPoolExecutor(max_workers=len(trees)) as pool:
-        futures = {k: pool.submit(parallel_cv, e, [], data, _r2(), folds, parallelism) for k, e in trees.items()}
-        rows = [(k, float(f.result()[0][0]), float(f.result()[1][0])) for k, f in futures.items()]
-    ridge = ridge_cv(fold_moments(data, folds), [1.0])[0]
-    rows.append(("Ridge", statistics.fmean(ridge), statistics.pstdev(ridge)))
+    return data, T.bin_rows(data, ["claim_key"], LABEL, fold="fold")
+
+
+def compare_regressors(train: DataFrame, protocol: Protocol = Protocol()) -> DataFrame:
+    """Cross-validated R^2 (mean, std) per candidate (M3) -> one row per model."""
+    data, binned = _folds(train, protocol.folds)
+    scores = {"GradientBoosting": _boosting_cv(data, binned, protocol.folds, [protocol.boost_shape], [protocol.boost_trees])[0, protocol.boost_trees],
+              "RandomForest": T.cv_forest(binned, protocol.folds, T.Spec(protocol.forest_trees, seed=SEED))[protocol.forest_trees, None],
+              "Ridge": ridge_cv(fold_moments(data, protocol.folds), [protocol.alpha])[0]}
     data.unpersist()
+    rows = [(k, statistics.fmean(v), statistics.pstdev(v)) for k, v in scores.items()]
     return train.sparkSession.createDataFrame(rows, "model_name string, cv_r2_mean double, cv_r2_std double")
 
 
@@ -182,9 +189,26 @@ class CostModel:
     def feature_weights(self, spark, names=FEATURES, top: int = 15) -> DataFrame:
         """Top features (A17): importances for trees, |coef| for the linear model."""
         m = self.model
-        vals = m.featureImportances.toArray() if hasattr(m, "featureImportances") else m.coefficients.toArray()
+        vals = (m.importances if isinstance(m, T.TreeEnsemble) else m.featureImportances.toArray() if hasattr(m, "featureImportances")
+                else m.coefficients.toArray())
         return coefficients_table(spark, names, vals, top)
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """The model and what was measured about it, below ``path``."""
+        trees = isinstance(self.model, T.TreeEnsemble)
+        state = {"model_name": self.model_name, "tiers": self.tiers, "evaluation": self.evaluation, "selection": self.selection, "trees": trees}
+        spark.createDataFrame([(json.dumps(state),)], "state string").coalesce(1).write.mode("overwrite").json(f"{path}/state")
+        if trees:
+            self.model.save(spark, f"{path}/model")
+        else:
+            PipelineModel(stages=[self.model]).write().overwrite().save(f"{path}/model")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "CostModel":
+        state = json.loads(spark.read.json(f"{path}/state").first()["state"])
+        model = T.TreeEnsemble.load(spark, f"{path}/model") if state.pop("trees") else PipelineModel.load(f"{path}/model").stages[0]
+        return cls(model=model, **state)
+
 
 def cost_tier(cost, t: dict):
     """<= q25 low, <= q75 medium, <= q90 high, else very_high (M8)."""
@@ -198,47 +222,43 @@ def cost_tier_thresholds(df: DataFrame, col: str = "charges") -> dict:
     return global_quantiles(df, col, [0.25, 0.5, 0.75, 0.9])
 
 
-def _tuned(name: str, train: DataFrame, tune_folds: int, parallelism: int):
-    """The winner's estimator and its best parameters by cross-validation over its grid (for Ridge: alpha)."""
-    std, n = _label_stats(train)
-    est = candidates(std, n)[name]
-    data = fold_column(train, ["claim_key"], tune_folds).persist(StorageLevel.MEMORY_AND_DISK)
-    data.count()
+def _tuned(name: str, train: DataFrame, protocol: Protocol) -> tuple:
+    """The winner's best parameters by cross-validation over its grid; of equal scores the first."""
+    data, binned = _folds(train, protocol.tune_folds)
     if name == "Ridge":
-        alphas = [0.1, 1.0, 10.0]
-        scores = [statistics.fmean(s) for s in ridge_cv(fold_moments(data, tune_folds), alphas)]
-        best = alphas[max(range(len(alphas)), key=lambda i: scores[i])]
+        scores = {(a,): v for a, v in zip(protocol.alphas, ridge_cv(fold_moments(data, protocol.tune_folds), protocol.alphas))}
     elif name == "GradientBoosting":
-        sizes, shapes = [100, 200], [{"maxDepth": d, "stepSize": s} for d in (3, 4) for s in (0.05, 0.1)]
-        scores = {k: statistics.fmean(v) for k, v in boosted_cv(est, sizes, shapes, data, tune_folds, parallelism).items()}
-        shape, size = max(scores, key=lambda k: scores[k])
-        best = {est.maxIter: size, est.maxDepth: shapes[shape]["maxDepth"], est.stepSize: shapes[shape]["stepSize"]}
+        got = _boosting_cv(data, binned, protocol.tune_folds, protocol.boost_shapes, protocol.boost_sizes)
+        scores = {(n, *shape): got[s, n] for s, shape in enumerate(protocol.boost_shapes) for n in protocol.boost_sizes}
     else:
-        grid = param_grid(name, est, std, n)
-        means, _ = parallel_cv(est, grid, data, _r2(), tune_folds, parallelism)
-        best = grid[max(range(len(means)), key=lambda i: means[i])]
+        got = T.cv_forest(binned, protocol.tune_folds, T.Spec(max(protocol.forest_sizes), seed=SEED), protocol.forest_sizes, protocol.forest_depths)
+        scores = {(n, d): got[n, d] for d in protocol.forest_depths for n in protocol.forest_sizes}
     data.unpersist()
-    return est, best
+    return max(scores, key=lambda k: statistics.fmean(scores[k]))
+
+
+def fit_named(name: str, params: tuple, rows: DataFrame):
+    """The candidate ``name`` with its tuned parameters on ``rows``."""
+    if name == "Ridge":
+        return _ridge(params[0], *_label_stats(rows)).fit(rows)
+    binned = T.bin_rows(rows, ["claim_key"], LABEL)
+    if name == "RandomForest":
+        return T.fit_forest(binned, T.Spec(params[0], seed=SEED), params[1])
+    return T.fit_boost(binned, *params) if binned.n <= T.BOOST_ROWS else _gbt(*params).fit(rows)
 
 
-def fit_cost(matrix: DataFrame, folds: int = 5, tune_folds: int = 3, parallelism: int | None = None) -> CostModel:
+def fit_cost(matrix: DataFrame, protocol: Protocol = Protocol()) -> CostModel:
     """M3-M6 end to end on rows with (claim_key, features, log_charges, charges)."""
     data = matrix.select("claim_key", "features", LABEL, "charges").persist(StorageLevel.MEMORY_AND_DISK)
     tiers = cost_tier_thresholds(data)
     train, test = hash_split(data, ["claim_key"])
-    sel = compare_regressors(train, folds, parallelism).collect()
+    sel = compare_regressors(train, protocol).collect()
     best = max(sel, key=lambda r: r["cv_r2_mean"])
-    est, best_params = _tuned(best["model_name"], train, tune_folds, parallelism or _concurrent(train))
+    params = _tuned(best["model_name"], train, protocol)
     # the tuned model on the training split (for the hold-out numbers) and the
     # refit on every row are independent: fit both at once
-    ests = [est, est]
-    if best["model_name"] == "Ridge":
-        ests = [_ridge(best_params, *_label_stats(rows)) for rows in (train, data)]
-        best_params = {}
     with ThreadPoolExecutor(max_workers=2) as pool:
-        f_train = pool.submit(ests[0].fit, train, best_params)
-        f_all = pool.submit(ests[1].fit, data, best_params)
-        tuned_model, final = f_train.result(), f_all.result()
+        tuned_model, final = pool.map(lambda rows: fit_named(best["model_name"], params, rows), (train, data))
     holdout = tuned_model.transform(test).withColumn("_pred_raw", F.expm1("prediction"))
     ev = regression_metrics(holdout, "charges", "_pred_raw").first().asDict()
     evaluation = {"model_name": best["model_name"], "mae": ev["mae"], "rmse": ev["rmse"], "r2": ev["r2"],

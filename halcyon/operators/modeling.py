@@ -59,11 +59,11 @@ def fold_column(df: DataFrame, key_cols: Sequence[str], k: int, seed: int = SEED
     return df.withColumn(out, F.floor(hash_unit(key_cols, seed, salt=7) * k).cast("int"))
 
 
-ROWS_PER_PARTITION = 50_000
+ROWS_PER_PARTITION = 2_000
 
 
 def size_partitions(df: DataFrame, n_rows: int | None = None, key: str = "claim_key") -> DataFrame:
-    """Repartition a model input into pieces of about 50k rows, by the hash of
+    """Repartition a model input into pieces of about 2,000 rows, by the hash of
     its key and in key order within a piece.  Learners that draw samples per
     partition then see the same rows in the same order on any cluster: the number
     of pieces follows the rows, not the cores."""
@@ -89,28 +89,3 @@ def coefficients_table(spark, names: Sequence[str], values: Sequence[float], top
     rows = [(n, float(abs(v))) for n, v in zip(names, values)]
     df = spark.createDataFrame(rows, "feature string, importance double")
     return df.orderBy(F.desc("importance"), F.asc("feature")).limit(top)
-
-
-def parallel_cv(est, grid: list, data: DataFrame, evaluator, folds: int, parallelism: int = 8,
-                fold_col: str = "fold") -> tuple[list, list]:
-    """k-fold cross-validation with every (param map, fold) fit submitted
-    concurrently (``CrossValidator`` parallelises maps but runs folds one by
-    one).  ``data`` carries a deterministic fold column and should be cached.
-    Returns (mean metric, population std) per param map."""
-    import statistics as st
-    from concurrent.futures import ThreadPoolExecutor
-
-    grid = grid or [{}]
-
-    def run(job):
-        i, f = job
-        train = data.where(F.col(fold_col) != f)
-        valid = data.where(F.col(fold_col) == f)
-        model = est.fit(train, grid[i])
-        return i, evaluator.evaluate(model.transform(valid))
-
-    jobs = [(i, f) for i in range(len(grid)) for f in range(folds)]
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(jobs)))) as pool:
-        results = list(pool.map(run, jobs))
-    per = [[m for i, m in results if i == k] for k in range(len(grid))]
-    return [st.fmean(v) for v in per], [st.pstdev(v) for v in per]

@@ -269,18 +269,14 @@ def q_model_performance(spark, sf_dir):
 def q_model_io(spark, sf_dir):
     """Save the preprocessor and the fitted cost model to the shared folder,
     load both back and score with the loaded copies."""
-    from pyspark.ml import PipelineModel
     from halcyon.operators.features import Preprocessor, assemble
     from halcyon.session import scratch_path
     m, pre = matrix(spark, sf_dir)
-    cm = cost_model(spark, sf_dir)
     ppath, mpath = scratch_path(spark, "preprocessor"), scratch_path(spark, "cost-model")
     pre.save(spark, ppath)
-    PipelineModel(stages=[cm.model]).write().overwrite().save(mpath)
-    pre2 = Preprocessor.load(spark, ppath)
-    model2 = PipelineModel.load(mpath)
-    rows = assemble(pre2.transform(claims(spark, sf_dir)), FEATURES)
-    return model2.transform(rows).select("claim_key", F.round(F.expm1("prediction"), 2).alias("predicted_cost"))
+    cost_model(spark, sf_dir).save(spark, mpath)
+    rows = assemble(Preprocessor.load(spark, ppath).transform(claims(spark, sf_dir)), FEATURES)
+    return CO.CostModel.load(spark, mpath).predict(rows).select("claim_key", "predicted_cost")
 
 
 @register("holdout_split")

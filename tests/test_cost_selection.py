@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
@@ -40,16 +41,41 @@ def test_prefix_of_a_boosted_model_is_the_shorter_model(data):
         for f in range(4):
             model = est.copy({est.maxIter: n, est.maxDepth: 2, est.stepSize: 0.3}).fit(df.where(F.col("fold") != f))
             valid = model.transform(df.where(F.col("fold") == f))
-            assert got[0, n][f] == pytest.approx(C._r2().evaluate(valid), rel=1e-9)
+            r2 = RegressionEvaluator(labelCol="log_charges", metricName="r2").evaluate(valid)
+            assert got[0, n][f] == pytest.approx(r2, rel=1e-9)
 
 
-def test_fit_cost_end_to_end(data, monkeypatch):
+FEW = C.Protocol(boost_trees=5, boost_sizes=(3, 6), forest_trees=4, forest_sizes=(2, 4), forest_depths=(None, 3))
+
+
+def test_fit_cost_end_to_end(data):
     """The whole protocol on few rows, with the linear candidate winning on linear data."""
     df, _, _ = data
     df = df.withColumn("log_charges", F.lit(8.0) + 0.3 * F.col("a") - 0.2 * F.col("b")).withColumn("charges", F.expm1("log_charges"))
-    few = {"GradientBoosting": lambda e: e.setMaxIter(2), "RandomForest": lambda e: e.setNumTrees(2).setMaxDepth(2), "Ridge": lambda e: e}
-    whole = C.candidates
-    monkeypatch.setattr(C, "candidates", lambda s, n: {k: few[k](e) for k, e in whole(s, n).items()})
-    m = C.fit_cost(df)
+    m = C.fit_cost(df, FEW)
     assert m.model_name == "Ridge" and m.evaluation["r2"] > 0.99
     assert set(r["model_name"] for r in m.selection) == {"GradientBoosting", "RandomForest", "Ridge"}
+
+
+@pytest.mark.parametrize("protocol, winner", [(C.Protocol(boost_trees=1, forest_trees=20, forest_sizes=(10, 20), alpha=1e6), "RandomForest"),
+                                              (C.Protocol(boost_trees=60, boost_sizes=(40, 80), forest_trees=1, alpha=1e6), "GradientBoosting"), (FEW, "Ridge")])
+def test_winner_is_tuned_saved_and_loaded(spark, data, tmp_path, protocol, winner):
+    df, x, _ = data
+    y = F.signum("a") * 2 + F.signum("b") if winner != "Ridge" else F.col("a")
+    df = df.withColumn("log_charges", F.lit(7.0) + y).withColumn("charges", F.expm1("log_charges"))
+    m = C.fit_cost(df, protocol)
+    assert m.model_name == winner and m.evaluation["r2"] > 0.9
+    m.save(spark, str(tmp_path / "model"))
+    again = C.CostModel.load(spark, str(tmp_path / "model"))
+    cols = ["claim_key", "predicted_cost", "ci_lower", "ci_upper", "cost_tier", "model_used"]
+    assert sorted(again.predict(df).select(cols).collect()) == sorted(m.predict(df).select(cols).collect())
+    assert (again.evaluation, again.selection, again.tiers) == (m.evaluation, m.selection, m.tiers)
+    assert m.feature_weights(spark, list("abcd")).first()["feature"] == "a"
+
+
+def test_many_rows_take_the_scanning_way(data, monkeypatch):
+    df, _, _ = data
+    monkeypatch.setattr(C.T, "BOOST_ROWS", 10)
+    got = C._boosting_cv(*C._folds(df, 3), 3, [(2, 0.3)], [2, 4])
+    assert set(got) == {(0, 2), (0, 4)} and all(len(v) == 3 for v in got.values())
+    assert hasattr(C.fit_named("GradientBoosting", (3, 2, 0.3), df), "trees")
