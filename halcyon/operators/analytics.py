@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from halcyon.operators.ranks import global_quantiles, quantiles
+from halcyon.operators.ranks import BROADCAST_ROWS, global_quantiles, quantiles
+from halcyon.session import cut_lineage
 
 ICD_DIMENSION = [
     # ---- fixed values: diagnosis key, ICD-10 code, description (20 rows) ----
@@ -101,15 +102,18 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
 def five_numbers(df: DataFrame, key: str, col: str) -> DataFrame:
     """Box-plot summary per key (A12): min, q1, median, q3, max and 1.5 IQR
     whisker ends (the most extreme data values inside the fences)."""
-    q = quantiles(df, col, [0.25, 0.5, 0.75], by=[key], names=["q1", "median", "q3"])
-    mm = df.groupBy(key).agg(F.min(col).alias("min"), F.max(col).alias("max"))
-    base = q.join(mm, key)
+    # everything is read off one row per (key, value), so a key with most rows is no hot join key
+    counts = cut_lineage(df.groupBy(key, col).agg(F.count(F.lit(1)).alias("n")))
+    q = quantiles(counts, col, [0.25, 0.5, 0.75], by=[key], names=["q1", "median", "q3"], weight=F.col("n"))
+    mm = counts.groupBy(key).agg(F.min(col).alias("min"), F.max(col).alias("max"))
+    base = cut_lineage(q.join(mm, key))
     fences = base.select(key, (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("_lf"),
                          (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("_uf"))
-    wh = df.join(fences, key).groupBy(key).agg(
+    fences = F.broadcast(fences) if base.count() <= BROADCAST_ROWS else fences
+    wh = counts.join(fences, key).groupBy(key).agg(
         F.min(F.when(F.col(col) >= F.col("_lf"), F.col(col))).alias("whisker_lo"),
         F.max(F.when(F.col(col) <= F.col("_uf"), F.col(col))).alias("whisker_hi"),
-        F.sum(((F.col(col) < F.col("_lf")) | (F.col(col) > F.col("_uf"))).cast("int")).alias("n_outliers"))
+        F.sum(F.when((F.col(col) < F.col("_lf")) | (F.col(col) > F.col("_uf")), F.col("n")).otherwise(0)).alias("n_outliers"))
     return base.join(wh, key)
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from halcyon.operators.ranks import cumulative_counts
+from halcyon.session import cut_lineage
 
 
 # ----------------------------------------------------------------------------- distributions
@@ -170,6 +171,22 @@ def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return unpivot(df, cols).where(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _drift(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """KS statistic D, sizes, means and shift % per ``by`` from (by..., value, _r, _c): how often each value
+    stands in the reference and in the current sample."""
+    cc = cumulative_counts(counts.where(F.col("value").isNotNull()), "value", by=by, weights={"r": F.col("_r"), "c": F.col("_c")})
+    gap = F.abs(F.try_divide(F.col("cum_r"), F.col("tot_r")) - F.try_divide(F.col("cum_c"), F.col("tot_c")))
+    # the means come from the same per-value count table: no second pass over the rows
+    d = cc.groupBy(*by).agg(
+        F.max(gap).alias("ks_statistic"), F.first("tot_r").alias("n_ref"), F.first("tot_c").alias("n_cur"),
+        F.try_divide(F.sum(F.col("value") * F.col("r")), F.first("tot_r")).alias("reference_mean"),
+        F.try_divide(F.sum(F.col("value") * F.col("c")), F.first("tot_c")).alias("current_mean"))
+    shift = F.when(F.col("reference_mean") != 0,
+                   F.lit(100.0) * (F.col("current_mean") - F.col("reference_mean")) / F.col("reference_mean")) \
+        .otherwise(F.lit(0.0))
+    return d.withColumn("mean_shift_pct", shift)
+
+
 def feature_drift(reference: DataFrame, current: DataFrame, cols: Sequence[str], counted: bool = False) -> DataFrame:
     """Two-sample KS statistic D per feature plus means and shift %.
 
@@ -181,18 +198,22 @@ def feature_drift(reference: DataFrame, current: DataFrame, cols: Sequence[str],
     r = reference if counted else unpivot(reference, cols).withColumn("n", F.lit(1).cast("long"))
     r = r.select("feature", "value", F.col("n").alias("_r"), F.lit(0).cast("long").alias("_c"))
     c = unpivot(current, cols).select("feature", "value", F.lit(0).cast("long").alias("_r"), F.lit(1).cast("long").alias("_c"))
-    both = r.unionByName(c).where(F.col("value").isNotNull())
-    cc = cumulative_counts(both, "value", by=["feature"], weights={"r": F.col("_r"), "c": F.col("_c")})
-    gap = F.abs(F.try_divide(F.col("cum_r"), F.col("tot_r")) - F.try_divide(F.col("cum_c"), F.col("tot_c")))
-    # the means come from the same per-value count table: no second pass over the rows
-    d = cc.groupBy("feature").agg(
-        F.max(gap).alias("ks_statistic"), F.first("tot_r").alias("n_ref"), F.first("tot_c").alias("n_cur"),
-        F.try_divide(F.sum(F.col("value") * F.col("r")), F.first("tot_r")).alias("reference_mean"),
-        F.try_divide(F.sum(F.col("value") * F.col("c")), F.first("tot_c")).alias("current_mean"))
-    shift = F.when(F.col("reference_mean") != 0,
-                   F.lit(100.0) * (F.col("current_mean") - F.col("reference_mean")) / F.col("reference_mean")) \
-        .otherwise(F.lit(0.0))
-    return d.withColumn("mean_shift_pct", shift)
+    return _drift(r.unionByName(c), ["feature"])
+
+
+def window_drift(counts: DataFrame) -> DataFrame:
+    """Drift of each window against all windows before it (X5), from (window_start, feature, value, n); the first
+    window has nothing before it and no row.  Only value counts are read: each once for every later
+    window (windows are few: one row per period)."""
+    counts = cut_lineage(counts)
+    if counts.isEmpty():
+        return _drift(counts.withColumn("_r", F.col("n")).withColumn("_c", F.col("n")), ["window_start", "feature"])
+    windows = [r["window_start"] for r in counts.select("window_start").distinct().collect()]
+    later = F.explode(F.filter(F.array(*[F.lit(w).cast("timestamp") for w in windows]), lambda w: w > F.col("window_start"))).alias("_w")
+    earlier = counts.select("feature", "value", "n", later) \
+        .groupBy(F.col("_w").alias("window_start"), "feature", "value").agg(F.sum("n").alias("_r")).withColumn("_c", F.lit(0).cast("long"))
+    now = counts.select("window_start", "feature", "value", F.lit(0).cast("long").alias("_r"), F.col("n").alias("_c"))
+    return _drift(earlier.unionByName(now), ["window_start", "feature"]).where((F.col("n_ref") > 0) & (F.col("n_cur") > 0))
 
 
 def drift_report(drift: DataFrame, alpha: float = 0.05) -> DataFrame:

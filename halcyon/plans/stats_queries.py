@@ -137,14 +137,17 @@ def q_drift_report(spark, sf_dir):
 
 # ----------------------------------------------------------------------------- ranks
 
-@register("percentile_rank", with_claims(
+_RANK_SQL = with_claims(
     f"ref AS (SELECT charges FROM claims WHERE claim_ts < TIMESTAMP '{SPLIT_TS}')",
     f"s AS (SELECT claim_key, charges FROM claims WHERE claim_ts >= TIMESTAMP '{SPLIT_TS}')",
     "u AS (SELECT charges AS v, 1 AS r FROM ref UNION ALL SELECT charges, 0 FROM s)",
     "c AS (SELECT v, sum(r) AS nr FROM u GROUP BY v)",
     "cum AS (SELECT v, sum(nr) OVER (ORDER BY v) AS cr, sum(nr) OVER () AS tr FROM c)") + """
 SELECT s.claim_key, round(CAST(100 AS DOUBLE) * cum.cr / cum.tr, 1) AS percentile_rank
-FROM s JOIN cum ON s.charges = cum.v""")
+FROM s JOIN cum ON s.charges = cum.v"""
+
+
+@register("percentile_rank", _RANK_SQL)
 def q_percentile_rank(spark, sf_dir):
     c = claims(spark, sf_dir).select("claim_key", "charges", "claim_ts")
     split = F.lit(SPLIT_TS).cast("timestamp_ntz")
@@ -152,6 +155,15 @@ def q_percentile_rank(spark, sf_dir):
     return K.percentile_rank(ref, new, "charges").select("claim_key", "percentile_rank")
 
 
+@register("rank_lookup", _RANK_SQL)
+def q_rank_lookup(spark, sf_dir):
+    """W1 of values that the reference has not seen, looked up in its at most 1,001 rank levels (as the scorer does in a stream)."""
+    c = claims(spark, sf_dir).select("claim_key", "charges", "claim_ts")
+    split = F.lit(SPLIT_TS).cast("timestamp_ntz")
+    levels = K.rank_levels(c.where(F.col("claim_ts") < split), "charges")
+    return c.where(F.col("claim_ts") >= split).select("claim_key", K.rank_of(F.col("charges"), levels).alias("percentile_rank"))
+
+
 @register("recent_predictions", """
 SELECT event_id, ts, event_type, value FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000""")
 def q_recent(spark, sf_dir):

@@ -2,10 +2,12 @@
 table or on a stream.
 
 Everything the scorer needs is static and small: the preprocessor literals,
-Spark ML models, the isolation forest (bounded node arrays) and K-row /
-<=10,001-row lookup tables that are broadcast-joined (stream-static joins).
-The row path is native expressions + ML transformers + one Arrow UDF (the
-forest walk), so it runs unchanged in ``readStream`` plans.
+the models, and the at most 1,001 score levels at which a percentile rank changes.
+The row path is native expressions, ML transformers and the Arrow tree
+walks, so it runs unchanged in ``readStream`` plans.
+
+Requests carry no ``charges``: nothing on the path reads them, and the claim id is the
+hash of the raw columns that are there.
 """
 
 from __future__ import annotations
@@ -22,28 +24,15 @@ from halcyon.operators.approval import ApprovalModel
 from halcyon.operators.clusters import Segmentation
 from halcyon.operators.cost import CostModel
 from halcyon.operators.features import FEATURES, Preprocessor, assemble
-from halcyon.operators.ingest import with_claim_id
+from halcyon.operators.ingest import request_to_claim, split_valid_rejected, with_claim_id
 from halcyon.operators.isoforest import REASON_NORMAL, REASON_SEVERE, REASON_UNUSUAL, IsolationForest
 from halcyon.operators.notemodels import IcdModel, fit_tfidf_stages, with_terms
-from halcyon.operators.ranks import cumulative_counts
+from halcyon.operators.ranks import rank_of
 from halcyon.sources.claims import RAW_COLUMNS
 
 SCORE_DIGITS = 4
 
 
-def score_rank_table(train_scores: DataFrame, value: str = "decision") -> DataFrame:
-    """Share of training decision values <= each 4-dp score level.
-
-    Scores are rounded to 4 dp, so the table has at most one row per 1e-4
-    step of the score range (decision values lie in (-1, 1): <= 20,001 rows)
-    and can be broadcast into a stream-static join.
-    """
-    lv = train_scores.select(F.round(value, SCORE_DIGITS).alias("anomaly_score"))
-    cc = cumulative_counts(lv, "anomaly_score")
-    return cc.select("anomaly_score", F.round(F.lit(100.0) * F.col("cum_n") / F.col("tot_n"), 1)
-                     .alias("percentile_rank"))
-
-
 @dataclass
 class KeywordModel:
     """Fitted note vectoriser for per-note top-10 keywords (no shuffle)."""
@@ -73,7 +62,7 @@ class ClaimScorer:
     pre: Preprocessor
     cost: CostModel
     anomaly: IsolationForest
-    rank_table: list          # (anomaly_score, percentile_rank) rows, bounded
+    levels: list              # (smallest training score, percentile rank), at most 1,001: ranks.rank_levels
     segments: Segmentation
     approval: ApprovalModel
     icd: IcdModel
@@ -82,17 +71,15 @@ class ClaimScorer:
     def score(self, claims: DataFrame, key: str = "claim_key") -> DataFrame:
         """One nested row per claim (X1): claim id, cost, anomaly, segment,
         approval and — when a non-empty note exists — NLP analysis."""
-        spark = claims.sparkSession
-        base = with_claim_id(claims, RAW_COLUMNS)
+        base = with_claim_id(claims, [c for c in RAW_COLUMNS if c in claims.columns])
         m = assemble(self.pre.transform(base, targets=False), FEATURES)
         m = self.cost.predict(m).drop("prediction")
         m = self.anomaly.decision(m)
-        rt = spark.createDataFrame(self.rank_table, "anomaly_score double, percentile_rank double")
         reason = F.when(~F.col("is_anomaly"), F.lit(REASON_NORMAL)) \
             .when(F.col("decision") < F.lit(self.anomaly.severe), F.lit(REASON_SEVERE)) \
             .otherwise(F.lit(REASON_UNUSUAL))
         m = m.withColumn("anomaly_score", F.round("decision", SCORE_DIGITS)).withColumn("flag_reason", reason)
-        m = m.join(F.broadcast(rt), "anomaly_score", "left")
+        m = m.withColumn("percentile_rank", rank_of(F.col("decision"), self.levels))
         m = self.segments.assign(m)
         m = self.approval.predict(m.drop("probability", "rawPrediction", "prediction"))
         has_note = F.col("clinical_note").isNotNull() & (F.length(F.trim("clinical_note")) > 0)
@@ -117,8 +104,20 @@ class ClaimScorer:
             *([F.col("claim_ts")] if "claim_ts" in claims.columns else []))
 
 
+def score_requests(scorer: ClaimScorer, requests: DataFrame, key: str = "claim_key") -> tuple[DataFrame, DataFrame]:
+    """(scored, rejected): requests validated and made canonical (V8, V9), the valid ones turned into
+    claims (V10) and scored (X1), the others with their reasons."""
+    accepted, rejected = split_valid_rejected(requests)
+    return scorer.score(request_to_claim(accepted), key), rejected
+
+
+def metric_columns() -> list:
+    """predictions, anomalies flagged, notes analysed (X3): of a scored frame, also as an observation of one."""
+    return [F.count(F.lit(1)).alias("predictions_total"),
+            F.coalesce(F.sum(F.col("anomaly_detection.is_anomaly").cast("long")), F.lit(0).cast("long")).alias("anomalies_flagged"),
+            F.count("nlp_analysis").alias("nlp_analyses_total")]
+
+
 def scoring_metrics(scored: DataFrame) -> DataFrame:
-    """predictions, anomalies flagged, notes analysed (X3, batch)."""
-    return scored.agg(F.count(F.lit(1)).alias("predictions_total"),
-                      F.sum(F.col("anomaly_detection.is_anomaly").cast("long")).alias("anomalies_flagged"),
-                      F.count("nlp_analysis").alias("nlp_analyses_total"))
+    """The metrics of a scored table (X3, batch)."""
+    return scored.agg(*metric_columns())

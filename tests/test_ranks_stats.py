@@ -20,7 +20,7 @@ def skewed(spark):
 
 def test_cumulative_counts_exact(skewed):
     df, vals, _ = skewed
-    cc = {r["v"]: (r["n"], r["cum_n"], r["tot_n"]) for r in K.cumulative_counts(df, "v", buckets=16).collect()}
+    cc = {r["v"]: (r["n"], r["cum_n"], r["tot_n"]) for r in K.cumulative_counts(df, "v", rows=20).collect()}
     for v in np.unique(vals)[::37]:
         n, cum, tot = cc[float(v)]
         assert n == int((vals == v).sum())
@@ -31,7 +31,7 @@ def test_cumulative_counts_exact(skewed):
 @pytest.mark.parametrize("qs", [[0.25, 0.5, 0.75, 0.9], [0.0, 0.05, 1.0]])
 def test_quantiles_match_numpy(skewed, qs):
     df, vals, _ = skewed
-    got = K.quantiles(df, "v", qs, buckets=16).first()
+    got = K.quantiles(df, "v", qs).first()
     for q in qs:
         assert got[f"q{int(round(q * 100))}"] == pytest.approx(float(np.percentile(vals, q * 100)), abs=1e-9)
 
@@ -44,6 +44,38 @@ def test_grouped_quantiles(skewed):
         assert rows[g]["q90"] == pytest.approx(float(np.percentile(vals[grp == g], 90)))
 
 
+@pytest.mark.parametrize("rows", [3, 40, 5000])
+def test_ranges_are_cut_until_they_are_small(spark, rows):
+    """Nearly unique values, most of them in one small interval: ranges stay under the limit and running sums stay exact."""
+    rng = np.random.default_rng(11)
+    vals = np.concatenate([rng.normal(0, 1e-7, 2500), rng.uniform(-1e6, 1e6, 500), [5.0] * 300])
+    grp = np.where(rng.random(len(vals)) < 0.9, "a", "b")
+    df = spark.createDataFrame([(str(g), float(v)) for g, v in zip(grp, vals)], "g string, v double")
+    counts = K.cut_lineage(df.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n")))
+    keyed, ranges = K.with_ranges(counts, "v", ["g"], rows)
+    sizes = keyed.groupBy("g", "_b").agg(F.count(F.lit(1)).alias("m"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+    assert max(r.m for r in sizes) <= rows and len(sizes) <= ranges
+    for g in "ab":
+        mine = sorted((r["_b"], r.lo, r.hi) for r in sizes if r.g == g)
+        assert all(x[2] < y[1] for x, y in zip(mine, mine[1:]))
+    for r in K.cumulative_counts(df, "v", by=["g"], rows=rows).collect()[::41]:
+        mine = vals[grp == r.g]
+        assert (r.n, r.cum_n, r.tot_n) == ((mine == r.v).sum(), (mine <= r.v).sum(), len(mine))
+
+
+def test_rank_of_values_that_were_not_seen(spark, skewed):
+    df, vals, _ = skewed
+    levels = K.rank_levels(df, "v")
+    assert len(levels) <= 1001
+    new = [(k, float(v)) for k, v in enumerate([-1e9, 41.99, 42.0, 42.01, 1e9, *np.random.default_rng(1).normal(100, 20, 200)])] + [(999, None)]
+    new = spark.createDataFrame(new, "id long, v double")
+    got = {r.id: r.r for r in new.select("id", K.rank_of(F.col("v"), levels).alias("r")).collect()}
+    brute = {r.id: r.percentile_rank for r in K.percentile_rank(df, new, "v").collect()}
+    assert got == brute and got[999] is None and got[0] == 0.0 and got[4] == 100.0
+    assert all(got[r.id] == round(100.0 * float((vals <= r.v).mean()), 1) for r in new.collect() if r.v is not None)
+    assert new.select(K.rank_of(F.col("v"), []).alias("r")).first().r is None
+
+
 def test_percentile_rank_brute_force(spark, skewed):
     df, vals, _ = skewed
     ref = df.where(F.col("id") % 2 == 0)
