@@ -42,9 +42,9 @@ DEFAULT_TOPIC = "General Medicine"
 
 
 def with_terms(df: DataFrame, text: str, out: str = "terms", clean: bool = False) -> DataFrame:
-    """Token + bigram array column; tokens are projected once (the optimizer
+    """Token + bigram array column (a null text has none); tokens are projected once (the optimizer
     keeps a multiply-referenced regex projection instead of inlining it)."""
-    src = clean_note(text) if clean else F.col(text)
+    src = F.coalesce(clean_note(text) if clean else F.col(text), F.lit(""))
     return df.withColumn("_tok", tokens(src, english_stop_words())) \
         .withColumn(out, with_bigrams(F.col("_tok"))).drop("_tok")
 
