@@ -151,14 +151,14 @@ def _boosting_cv(data: DataFrame, binned: T.Binned, folds: int, shapes, sizes) -
     return boosted_cv(_gbt(max(sizes), *shapes[0]), list(sizes), grid, data, folds, _concurrent(data))
 
 
-def _folds(train: DataFrame, folds: int) -> tuple[DataFrame, T.Binned]:
+def _folds(train: DataFrame, folds: int, cuts: list | None = None) -> tuple[DataFrame, T.Binned]:
     data = fold_column(train, ["claim_key"], folds).persist(StorageLevel.MEMORY_AND_DISK)
-    return data, T.bin_rows(data, ["claim_key"], LABEL, fold="fold")
+    return data, T.bin_rows(data, ["claim_key"], LABEL, fold="fold", cuts=cuts)
 
 
-def compare_regressors(train: DataFrame, protocol: Protocol = Protocol()) -> DataFrame:
+def compare_regressors(train: DataFrame, protocol: Protocol = Protocol(), cuts: list | None = None) -> DataFrame:
     """Cross-validated R^2 (mean, std) per candidate (M3) -> one row per model."""
-    data, binned = _folds(train, protocol.folds)
+    data, binned = _folds(train, protocol.folds, cuts)
     scores = {"GradientBoosting": _boosting_cv(data, binned, protocol.folds, [protocol.boost_shape], [protocol.boost_trees])[0, protocol.boost_trees],
               "RandomForest": T.cv_forest(binned, protocol.folds, T.Spec(protocol.forest_trees, seed=SEED))[protocol.forest_trees, None],
               "Ridge": ridge_cv(fold_moments(data, protocol.folds), [protocol.alpha])[0]}
@@ -222,9 +222,9 @@ def cost_tier_thresholds(df: DataFrame, col: str = "charges") -> dict:
     return global_quantiles(df, col, [0.25, 0.5, 0.75, 0.9])
 
 
-def _tuned(name: str, train: DataFrame, protocol: Protocol) -> tuple:
+def _tuned(name: str, train: DataFrame, protocol: Protocol, cuts: list | None = None) -> tuple:
     """The winner's best parameters by cross-validation over its grid; of equal scores the first."""
-    data, binned = _folds(train, protocol.tune_folds)
+    data, binned = _folds(train, protocol.tune_folds, cuts)
     if name == "Ridge":
         scores = {(a,): v for a, v in zip(protocol.alphas, ridge_cv(fold_moments(data, protocol.tune_folds), protocol.alphas))}
     elif name == "GradientBoosting":
@@ -237,11 +237,11 @@ def _tuned(name: str, train: DataFrame, protocol: Protocol) -> tuple:
     return max(scores, key=lambda k: statistics.fmean(scores[k]))
 
 
-def fit_named(name: str, params: tuple, rows: DataFrame):
+def fit_named(name: str, params: tuple, rows: DataFrame, cuts: list | None = None):
     """The candidate ``name`` with its tuned parameters on ``rows``."""
     if name == "Ridge":
         return _ridge(params[0], *_label_stats(rows)).fit(rows)
-    binned = T.bin_rows(rows, ["claim_key"], LABEL)
+    binned = T.bin_rows(rows, ["claim_key"], LABEL, cuts=cuts)
     if name == "RandomForest":
         return T.fit_forest(binned, T.Spec(params[0], seed=SEED), params[1])
     return T.fit_boost(binned, *params) if binned.n <= T.BOOST_ROWS else _gbt(*params).fit(rows)
@@ -252,13 +252,14 @@ def fit_cost(matrix: DataFrame, protocol: Protocol = Protocol()) -> CostModel:
     data = matrix.select("claim_key", "features", LABEL, "charges").persist(StorageLevel.MEMORY_AND_DISK)
     tiers = cost_tier_thresholds(data)
     train, test = hash_split(data, ["claim_key"])
-    sel = compare_regressors(train, protocol).collect()
+    cuts = T.feature_cuts(train)              # the bins of all fits
+    sel = compare_regressors(train, protocol, cuts).collect()
     best = max(sel, key=lambda r: r["cv_r2_mean"])
-    params = _tuned(best["model_name"], train, protocol)
+    params = _tuned(best["model_name"], train, protocol, cuts)
     # the tuned model on the training split (for the hold-out numbers) and the
     # refit on every row are independent: fit both at once
     with ThreadPoolExecutor(max_workers=2) as pool:
-        tuned_model, final = pool.map(lambda rows: fit_named(best["model_name"], params, rows), (train, data))
+        tuned_model, final = pool.map(lambda rows: fit_named(best["model_name"], params, rows, cuts), (train, data))
     holdout = tuned_model.transform(test).withColumn("_pred_raw", F.expm1("prediction"))
     ev = regression_metrics(holdout, "charges", "_pred_raw").first().asDict()
     evaluation = {"model_name": best["model_name"], "mae": ev["mae"], "rmse": ev["rmse"], "r2": ev["r2"],

@@ -97,12 +97,21 @@ class Binned:
         return len(self.cuts)
 
 
-def feature_cuts(df: DataFrame, width: int, features: str = "features", bins: int = MAX_BINS) -> list[list[float]]:
+def feature_cuts(df: DataFrame, features: str = "features", bins: int = MAX_BINS) -> list[list[float]]:
     """Per feature the increasing upper ends of all bins but the last, from mergeable quantile sketches (one pass)."""
-    x = vector_to_array(features)
+    width = df.select(F.max(F.size(vector_to_array(features)))).first()[0] or 0
+
+    def doubles(batches):                  # one column per feature, unpacked once
+        for b in batches:
+            x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, width) if b.num_rows else np.zeros((0, width))
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, i]) for i in range(width)], names=[f"x{i}" for i in range(width)])
+
+    if not width:
+        return []
+    rows = df.select(vector_to_array(features).alias("x")).mapInArrow(doubles, ", ".join(f"x{i} double" for i in range(width)))
     shares = [i / bins for i in range(1, bins)]
-    row = df.agg(*[F.percentile_approx(x[i], shares, 10_000).alias(f"c{i}") for i in range(width)],
-                 *[F.max(x[i]).alias(f"m{i}") for i in range(width)]).first()
+    row = rows.agg(*[F.percentile_approx(f"x{i}", shares, 10_000).alias(f"c{i}") for i in range(width)],
+                   *[F.max(f"x{i}").alias(f"m{i}") for i in range(width)]).first()
     return [sorted({c for c in (row[f"c{i}"] or []) if c < row[f"m{i}"]}) for i in range(width)]
 
 
@@ -118,10 +127,11 @@ def bin_rows(df: DataFrame, key: Sequence[str], label: str, features: str = "fea
              fold: str | None = None, cuts: list | None = None) -> Binned:
     """Stage ``df`` as compact binned rows.  Rows with a null label take no part."""
     df = df.where(F.col(label).isNotNull())
-    st = df.agg(F.count(F.lit(1)).alias("n"), F.avg(label).alias("mean"), F.min(label).alias("lo"), F.max(label).alias("hi"),
-                F.max(F.col(weight) if weight else F.lit(1.0)).alias("w"), F.max(F.size(vector_to_array(features))).alias("width")).first()
-    n, mean = int(st["n"]), float(st["mean"] or 0.0)
-    cuts = cuts if cuts is not None else feature_cuts(df, int(st["width"] or 0), features)
+    st = df.agg(F.count(F.lit(1)).alias("n"), F.min(label).alias("lo"), F.max(label).alias("hi"),
+                F.max(F.col(weight) if weight else F.lit(1.0)).alias("w")).first()
+    # labels are measured from the middle of their range, which does not depend on the order of a sum
+    n, mean = int(st["n"]), (float(st["lo"] or 0.0) + float(st["hi"] or 0.0)) / 2
+    cuts = cuts if cuts is not None else feature_cuts(df, features)
     spread = max(float(st["hi"] or 0) - mean, mean - float(st["lo"] or 0), 1e-300)
     # sums of weight x label stay below 2^52, so they are exact in doubles too (a row is drawn about once)
     one = WEIGHT_ONE if weight else 1

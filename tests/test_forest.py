@@ -95,7 +95,8 @@ def test_cross_validation_equals_brute_force(data, local_rows):
 
 def test_same_trees_from_any_partitioning(data):
     spec = T.Spec(5, features=2, seed=1)
-    models = [T.fit_forest(T.bin_rows(d, ["claim_key"], "label"), spec, None, n) for d, n in ((data.repartition(7), 50), (data.coalesce(1), 9999))]
+    cuts = T.feature_cuts(data)
+    models = [T.fit_forest(T.bin_rows(d, ["claim_key"], "label", cuts=cuts), spec, None, n) for d, n in ((data.repartition(7), 50), (data.coalesce(1), 9999))]
     assert models[0].predict_array(np.ones((1, 3))) == models[1].predict_array(np.ones((1, 3)))
     assert sorted(models[0].value) == sorted(models[1].value)
 
