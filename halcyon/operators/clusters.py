@@ -64,7 +64,7 @@ def silhouette(assigned: DataFrame, key: str = "claim_key", features: str = "fea
     """Mean Euclidean silhouette over a hash-ordered ``sample``-row sample
     (M14).  The sample is a distributed top-k, so only ``sample`` rows move;
     the quadratic part runs on that bounded group alone."""
-    h = F.xxhash64(F.col(key), F.lit(seed))
+    h = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col(key).cast("string")))
     smp = assigned.select(h.alias("_h"), F.col("cluster_id"), vector_to_array(features).alias("x")) \
         .orderBy("_h").limit(sample).withColumn("_g", F.lit(0))
     return smp.groupBy("_g").applyInPandas(lambda p: _silhouette_pdf(p), "silhouette double, n long")

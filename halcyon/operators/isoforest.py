@@ -25,13 +25,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from halcyon.operators.modeling import SEED, hash_unit
 from halcyon.operators.ranks import global_quantiles, percentile_rank
+from halcyon.session import cut_lineage
 
 # ---- fixed values: flag texts -------------------------------------------------
 REASON_NORMAL = "Normal claim pattern"
@@ -97,6 +97,23 @@ def _build_tree(pdf: pd.DataFrame, seed: int, m: int) -> pd.DataFrame:
                          "leaf_value": np.asarray(leaf, dtype="float64")})
 
 
+def flag_reason(decision: Column, is_anomaly: Column, severe: float) -> Column:
+    """The text that goes with a decision value (M11): severe below the 2 % quantile of the training values."""
+    return F.when(~is_anomaly, F.lit(REASON_NORMAL)).when(decision < F.lit(severe), F.lit(REASON_SEVERE)).otherwise(F.lit(REASON_UNUSUAL))
+
+
+def severe_limit(train: DataFrame, decision: str = "decision") -> float:
+    return float(global_quantiles(train, decision, [0.02], names=["q"])["q"])
+
+
+def train_statistics(train: DataFrame, decision: str = "decision", flag: str = "is_anomaly") -> DataFrame:
+    """Rows, anomalies, their rate % and the mean and population std of the decision values (A10)."""
+    n = F.count(F.lit(1))
+    hits = F.coalesce(F.sum(F.col(flag).cast("long")), F.lit(0).cast("long"))
+    return train.agg(n.alias("n"), hits.alias("n_anomalies"), F.coalesce(F.try_divide(F.lit(100.0) * hits, n), F.lit(0.0)).alias("anomaly_rate_pct"),
+                     F.avg(decision).alias("score_mean"), F.stddev_pop(decision).alias("score_std"))
+
+
 def _as_array(col: str) -> Column:
     return vector_to_array(col)
 
@@ -138,13 +155,7 @@ class IsolationForest:
         return score
 
     def raw_score(self, df: DataFrame, features: str = "features") -> DataFrame:
-        """anomaly score s in (0, 1]; higher = more isolated.  The Arrow walk is
-        CPU-bound Python, so an input with fewer partitions than cores is spread
-        first (batch only; a stream keeps its micro-batch partitioning)."""
-        if not df.isStreaming:
-            cores = df.sparkSession.sparkContext.defaultParallelism
-            if df.rdd.getNumPartitions() < cores:
-                df = df.repartition(cores)
+        """anomaly score s in (0, 1]; higher = more isolated."""
         return df.withColumn("_s", self._path_udf()(_as_array(features)))
 
     def decision(self, df: DataFrame, features: str = "features") -> DataFrame:
@@ -157,9 +168,9 @@ class IsolationForest:
         """is_anomaly, anomaly_score (4 dp), percentile_rank against the
         training decision values, flag_reason (M10, M11, W1)."""
         d = self.decision(df, features)
-        reason = F.when(~F.col("is_anomaly"), F.lit(REASON_NORMAL)) \
-            .when(F.col("decision") < F.lit(self.severe), F.lit(REASON_SEVERE)).otherwise(F.lit(REASON_UNUSUAL))
-        d = d.withColumn("flag_reason", reason).withColumn("anomaly_score", F.round("decision", 4))
+        # the forest is walked once for all that reads the decision below
+        d = d if d.isStreaming else cut_lineage(d)
+        d = d.withColumn("flag_reason", flag_reason(F.col("decision"), F.col("is_anomaly"), self.severe)).withColumn("anomaly_score", F.round("decision", 4))
         return percentile_rank(train_scores, d, "decision")
 
 
@@ -191,16 +202,11 @@ def fit_isolation_forest(df: DataFrame, key: list[str], features: str = "feature
         g = g.sort_values("node")
         forest[int(t)] = {c: g[c].to_numpy() for c in ("feature", "threshold", "left", "right", "leaf_value")}
     model = IsolationForest(forest=forest, sample_size=m, contamination=contamination)
-    raw = model.raw_score(df.select(*key, features), features).drop(features) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    raw = cut_lineage(model.raw_score(df.select(*key, features), features).drop(features))
     model.offset = float(global_quantiles(raw.withColumn("_neg", -F.col("_s")), "_neg", [contamination],
                                           names=["q"])["q"])
     train = raw.withColumn("decision", -F.col("_s") - F.lit(model.offset)).drop("_s") \
         .withColumn("is_anomaly", F.col("decision") < 0)
-    model.severe = float(global_quantiles(train, "decision", [0.02], names=["q"])["q"])
-    st = train.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is_anomaly").cast("int")).alias("n_anomalies"),
-                   F.avg("decision").alias("score_mean"), F.stddev_pop("decision").alias("score_std")).first()
-    model.train_stats = {"n": int(st["n"]), "n_anomalies": int(st["n_anomalies"] or 0),
-                         "anomaly_rate_pct": 100.0 * (st["n_anomalies"] or 0) / max(st["n"], 1),
-                         "score_mean": float(st["score_mean"]), "score_std": float(st["score_std"])}
+    model.severe = severe_limit(train)
+    model.train_stats = train_statistics(train).first().asDict()
     return model, train

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from halcyon.operators.analytics import RISK_LABELS, label_by_rank, profile_by  # noqa: F401
+from halcyon.operators.analytics import RISK_LABELS, label_by_rank, profile_by, share_by  # noqa: F401, share_by
 
 PROFILE_COLS = ["age", "bmi", "children", "charges", "risk_score"]
 
@@ -75,6 +75,13 @@ def assign_segment(seg: DataFrame, k: int | None = None) -> DataFrame:
     return out.withColumn("segment_risk_score", F.round(F.col("charge_rank").cast("double") / F.lit(float(kk - 1)) * F.lit(10.0), 1))
 
 
+def segment_distribution(seg: DataFrame) -> DataFrame:
+    """Rows, percentage and mean profile of each risk group (A7): one row per cluster."""
+    prof = profiles(seg)
+    lab = labels(prof).select("cluster_id", "risk_label")
+    return share_by(seg, "cluster_id").join(F.broadcast(prof), "cluster_id").join(F.broadcast(lab), "cluster_id").drop("cluster_id")
+
+
 def fixed_segments_sql(centres=FIXED_CENTRES) -> tuple[str, str, str]:
     """CTE blocks ``seg``, ``prof``, ``lab`` for the oracle (over ``feat``)."""
     coords = ["CAST(age AS DOUBLE) / CAST(100 AS DOUBLE)", "CAST(bmi AS DOUBLE) / CAST(100 AS DOUBLE)",

@@ -25,7 +25,7 @@ from halcyon.operators.clusters import Segmentation
 from halcyon.operators.cost import CostModel
 from halcyon.operators.features import FEATURES, Preprocessor, assemble
 from halcyon.operators.ingest import request_to_claim, split_valid_rejected, with_claim_id
-from halcyon.operators.isoforest import REASON_NORMAL, REASON_SEVERE, REASON_UNUSUAL, IsolationForest
+from halcyon.operators.isoforest import IsolationForest, flag_reason
 from halcyon.operators.notemodels import IcdModel, fit_tfidf_stages, with_terms
 from halcyon.operators.ranks import rank_of
 from halcyon.sources.claims import RAW_COLUMNS
@@ -75,10 +75,8 @@ class ClaimScorer:
         m = assemble(self.pre.transform(base, targets=False), FEATURES)
         m = self.cost.predict(m).drop("prediction")
         m = self.anomaly.decision(m)
-        reason = F.when(~F.col("is_anomaly"), F.lit(REASON_NORMAL)) \
-            .when(F.col("decision") < F.lit(self.anomaly.severe), F.lit(REASON_SEVERE)) \
-            .otherwise(F.lit(REASON_UNUSUAL))
-        m = m.withColumn("anomaly_score", F.round("decision", SCORE_DIGITS)).withColumn("flag_reason", reason)
+        m = m.withColumn("anomaly_score", F.round("decision", SCORE_DIGITS)) \
+            .withColumn("flag_reason", flag_reason(F.col("decision"), F.col("is_anomaly"), self.anomaly.severe))
         m = m.withColumn("percentile_rank", rank_of(F.col("decision"), self.levels))
         m = self.segments.assign(m)
         m = self.approval.predict(m.drop("probability", "rawPrediction", "prediction"))
