@@ -18,6 +18,8 @@ comments, forms, side bars and so on.  The fit is one Spark group of that size.
 Defined results for odd input: null and empty html give the empty text; plain
 text without tags is one block and kept; a head without an end tag ends where
 something stands that a head cannot hold; other unclosed and stray tags are repaired as browsers do for paragraphs, list items and cells;
+an open svg, select or option ends where a block begins; a button, object or canvas that never ends hides nothing; a stray quote
+in a tag is part of the tag; pages of any length and nesting are read in time that follows their length;
 rows that repeat and null ids are rows like any other; without any page to
 learn from, blocks outside excluded elements are kept; an empty table gives an
 empty result; other columns are ignored.
@@ -68,10 +70,14 @@ _BLOCKS, _VOID, _HIDDEN = frozenset(BLOCKS), frozenset(VOID), frozenset(HIDDEN)
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
          "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 _SCOPE = frozenset("ul ol dl table html body article section div td th".split())
-_PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<)", re.S)
+#: a comment, a declaration, a tag (a quote counts only behind an equals sign, and only if it is closed), or text; nothing is tried twice
+_PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>=]+|=\s*+(?:\"[^\"]*\"|'[^']*')|=)*+)(?:>|\Z)|([^<]+|<)", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|itemprop|aria-label|data-main)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
+#: elements that a block ends, wherever they were left open: a browser goes back to the page there
+_LEFT_BY_BLOCKS = ("svg", "select", "option")
+_TABLE_PARTS = frozenset("tr td th thead tbody tfoot".split())
 
 
 class Node:
@@ -97,9 +103,16 @@ def parse(page: str) -> list[Node]:
     """The page's block elements and text leaves in page order (parents first); parent is an index."""
     nodes = [Node("html", -1)]
     stack = [("html", 0)]  # open elements; inline ones share the index of their block
+    places: dict[str, list[int]] = {}  # where in the stack each kind is open, so that nothing walks through the stack
+    blocks: list[int] = []
+    last_end: dict[str, int] = {}
+    lower = None
     pieces: list[str] = []
     linked, hidden, links = 0, 0, 0
 
+    def open_at(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     def flush():
         nonlocal linked
         if pieces:
@@ -117,6 +130,9 @@ def parse(page: str) -> list[Node]:
         nonlocal hidden, links
         while len(stack) > to:
             tag = stack.pop()[0]
+            places[tag].pop()
+            if tag in _BLOCKS:
+                blocks.pop()
             hidden -= tag in _HIDDEN
             links -= tag == "a"
 
@@ -137,14 +153,12 @@ def parse(page: str) -> list[Node]:
         tag = tag.lower()
         block = tag in _BLOCKS
         if m.group(1):
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    if block:
-                        flush()
-                    close(k)
-                    break
-                if not block and stack[k][0] in _BLOCKS:
-                    break  # an inline end tag does not reach out of its block
+            k = open_at((tag,))
+            # an inline end tag does not reach out of its block
+            if k and (block or not blocks or blocks[-1] < k):
+                if block:
+                    flush()
+                close(k)
             continue
         if stack[-1][0] == "head" and tag not in IN_HEAD:
             close(len(stack) - 1)
@@ -153,11 +167,12 @@ def parse(page: str) -> list[Node]:
             continue
         if block:
             flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p" or stack[k][0] in _ENDS.get(tag, ()):
-                    close(k)
-                elif stack[k][0] in _SCOPE and (tag not in ("tr", "td", "th", "thead", "tbody", "tfoot") or stack[k][0] == "table"):
-                    break
+            while hidden and (k := open_at(_LEFT_BY_BLOCKS)) > open_at(("foreignobject",)):
+                close(k)
+            ends = ("p", *_ENDS.get(tag, ()))
+            around = open_at(("table",) if tag in _TABLE_PARTS else _SCOPE.difference(ends))
+            while (k := open_at(ends)) > around:
+                close(k)
         if tag in ("html", "body"):
             continue
         if tag in _VOID or m.group(3).endswith("/") and tag not in _BLOCKS and tag not in RAW:
@@ -166,11 +181,20 @@ def parse(page: str) -> list[Node]:
             end = _RAW_END[tag].search(page, at)
             at = end.end() if end else size
             continue
+        if tag in _HIDDEN and tag != "head" and tag not in _LEFT_BY_BLOCKS:
+            if tag not in last_end:
+                lower = page.lower() if lower is None else lower
+                last_end[tag] = lower.rfind("</" + tag)
+            if last_end[tag] < at:
+                continue  # never closed: it hides nothing
         where = stack[-1][1]
         if block and not hidden:
             tokens, label = _attributes(m.group(3))
             nodes.append(Node(tag, where, tokens, None, label))
             where = len(nodes) - 1
+        places.setdefault(tag, []).append(len(stack))
+        if block:
+            blocks.append(len(stack))
         stack.append((tag, where))
         hidden += tag in _HIDDEN
         links += tag == "a"

@@ -291,9 +291,21 @@ def _near_duplicates(docs: DataFrame, share: int) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, share: int = SHARE) -> DataFrame:
-    """``docs`` without the near copies: of each group the document with the smallest id stays."""
-    gone = small(near_duplicates(docs, share).where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct())
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    """``docs`` without the near copies: of each group one document stays, that with the smallest id.
+
+    Rows without id take part under a number made of their text's hash, above all ids, so a copy that has an id stays
+    rather than they.  Of rows that repeat id and text one stays (that with the smallest hash of all columns);
+    rows that repeat an id with other texts are one document and stay or go together."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    unnamed = F.lit(1 << 62) + F.pmod(F.xxhash64(text), F.lit(1 << 61))
+    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), unnamed))
+    near = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), share)
+    gone = small(near.where("NOT kept").select(F.col("doc_id").alias("_key")).distinct())
+    again = small(keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_key"))
+    rows = keyed.join(gone, "_key", "left_anti")
+    repeated = rows.join(again, "_key", "left_semi").groupBy("_key", F.sha2(text, 256).alias("_text")).agg(
+        F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row")).select("_row.*")
+    return rows.join(again, "_key", "left_anti").select(*docs.columns).unionByName(repeated)
 
 
 @register("op9_minhash")

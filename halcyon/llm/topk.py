@@ -16,12 +16,15 @@ Defined results for odd input: a null vector, a vector with null or non-finite
 components and a null vec_id take no part; only vectors of the same length are
 compared; an empty vector scores 0 against the empty ones; equal scores go to
 the smaller vec_id; rows that repeat a vec_id are no candidates of each other,
-and a repeated candidate is listed as often as it occurs; a query with no
+and a repeated candidate is listed as often as it occurs; different vectors under
+one query id are one query, whose list holds the best of all of them; a query with no
 candidate has no row; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -46,17 +49,23 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def _matrix(column: pa.ChunkedArray, rows: int, dim: int) -> np.ndarray:
-    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return np.floor(flat.reshape(rows, dim) * float(SCALE))
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows, dim)
+
+
+def _whole(x: float) -> int:
+    """floor(SCALE * x) of any finite double, also where the product is no double."""
+    return int(x) * SCALE if abs(x) >= 2.0 ** 53 else math.floor(x * SCALE)
 
 
 def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact integer inner products of all rows of q with all rows of c."""
-    most = max(np.abs(q).max(initial=0), 1) * max(np.abs(c).max(initial=0), 1) * max(q.shape[1], 1)
+    """Exact integer inner products of floor(SCALE * x) of all rows of q with all rows of c."""
+    with np.errstate(over="ignore"):
+        a, b = np.floor(q * float(SCALE)), np.floor(c * float(SCALE))
+        most = max(np.abs(a).max(initial=0), 1) * max(np.abs(b).max(initial=0), 1) * max(q.shape[1], 1)
     if most < 2.0 ** 53:
-        return (q @ c.T).astype(np.int64)
-    whole = np.array([[int(x) for x in r] for r in q], dtype=object).reshape(q.shape)
-    other = np.array([[int(x) for x in r] for r in c], dtype=object).reshape(c.shape)
+        return (a @ b.T).astype(np.int64)
+    whole = np.array([[_whole(x) for x in r] for r in q.tolist()], dtype=object).reshape(q.shape)
+    other = np.array([[_whole(x) for x in r] for r in c.tolist()], dtype=object).reshape(c.shape)
     info = np.iinfo(np.int64)
     return np.array([[min(max(x, info.min), info.max) for x in r] for r in (whole @ other.T)], dtype=np.int64).reshape(len(q), len(c))
 

@@ -140,8 +140,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **options) -
              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     # `sample` rows of two numbers: a bounded broadcast
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-            .join(F.broadcast(known), "doc_id").select("doc_id", "toxic", "text")
-            .mapInArrow(_sampled, "doc_id long, toxic int, slots array<int>").dropDuplicates(["doc_id"]))
+            .join(F.broadcast(known), "doc_id"))
+    # of a doc_id with several texts the one with the smallest hash teaches, whatever the partitioning
+    text = F.coalesce("text", F.lit(""))
+    rows = (rows.groupBy("doc_id", "toxic").agg(F.min_by(text, F.struct(F.xxhash64(text), text)).alias("text"))
+            .mapInArrow(_sampled, "doc_id long, toxic int, slots array<int>"))
     got = (rows.groupBy(F.lit(0).alias("one")).applyInArrow(_fit_group(options), "w0 double, slots array<long>, w array<double>, v array<double>")).collect()
     if not got:
         return {"w0": 0.0, "slots": np.zeros(0, np.int64), "w": np.zeros(0), "v": np.zeros((0, 1))}

@@ -1,4 +1,5 @@
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -81,3 +82,35 @@ def test_head_without_an_end_tag_and_math():
     assert leaves("<html><head><title>t</title></head><body><p>text</p></body></html>") == ["text"]
     assert leaves("<p>as <math><mi>x</mi><mo>=</mo><mn>2</mn></math> shows</p>") == ["as x=2 shows"]
     assert html.extract(["<html><head><title>t</title><body><article><p>text"], None) == ["text"]
+
+
+def shown(page):
+    return [n.text for n in html.parse(page) if n.text is not None]
+
+
+@pytest.mark.parametrize("page, texts", [
+    ("<p>a<b c='it's'>bold</b> end</p>", ["abold end"]),
+    ('<p>a<b c="x>y" d=\'z>\'>bold</b></p>', ["abold"]),
+    ('<p>x <a href="open>link</a> y</p><p>next', ["x link y", "next"]),
+    ("<article><p>one <svg><path d='x'><p>two</p><p>three</article>", ["one", "two", "three"]),
+    ("<article><p>one</p><select><option>A<option>B<p>two</p></article>", ["one", "two"]),
+    ("<p>one <select><option>A</option></select> rest</p>", ["one rest"]),
+    ("<p>one <button>press <p>two</p> three", ["one press", "two", "three"]),
+    ("<p>one <button>press</button> two</p>", ["one two"]),
+    ("<svg><foreignObject><p>label</p></foreignObject></svg><p>one", ["one"]),
+    ("<div><b>one</div>two</b> three", ["one", "two three"]),
+    ("<ul><li>a<ul><li>b</ul><li>c</ul>", ["a", "b", "c"]),
+    ("<table><tr><td>a<td><p>b<tr><td>c</table>d", ["a", "b", "c", "d"]),
+    ("<p>one</b></i></div> two", ["one two"]),
+])
+def test_repairs(page, texts):
+    assert shown(page) == texts
+
+
+@pytest.mark.parametrize("bad", ["<x b ", "<b>", "<div>", "<p>", "</div>", "<td>", '<a b="', "<a b='\"", "<svg>", "<select>", "<button>", "<li><dt>", "<script", "<!-", "<", "&#", "<b></p>"])
+def test_a_megabyte_of_anything_is_read_in_time(bad):
+    half = 500_000 // len(bad)
+    for page in (bad * half + '"' + "<p>text " * 60_000, ("<p>text " * 60_000) + bad * half, (bad + "<p>") * (half // 2) + "</div>" * 60_000):
+        at = time.perf_counter()
+        html.parse(page)
+        assert time.perf_counter() - at < 6            # about 1 s alone; quadratic work takes minutes

@@ -55,5 +55,15 @@ def test_sketch_estimates_similarity_and_fills():
 def test_one_of_each_keeps_columns(frame):
     docs = frame([(1, "a b c d e f"), (2, "A b c d e f"), (3, "x y"), (None, "a b c d e f")])
     out = minhash.one_of_each(docs)
-    assert out.columns == docs.columns and sorted(r.doc_id or 0 for r in out.collect()) == [0, 1, 3]
+    assert out.columns == docs.columns and sorted(r.doc_id or 0 for r in out.collect()) == [1, 3]
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_one_of_each_of_repeated_rows_and_rows_without_id(frame):
+    rows = [(1, "a b c d e f")] * 3 + [(7, "one two three four five")] * 2 + [(7, "another text under this id stays too")]
+    rows += [(None, "p q r s t u v w x y z 1 2 3 4 5 6 7 8 9"), (None, "p q r s t u v w x y z 1 2 3 4 5 6 7 8 9"), (None, "p q r s t u v w x y z 1 2 3 4 5 6 7 8 0"),
+             (None, None), (None, ""), (None, None), (9, None), (9, None), (10, "")]
+    got = sorted((str(r.doc_id), r.text or "") for r in minhash.one_of_each(frame(rows)).collect())
+    want = [("1", "a b c d e f"), ("7", "one two three four five"), ("7", "another text under this id stays too"), ("9", ""), ("10", ""), ("None", "")]
+    near = [x for x in got if x[1].startswith("p q")]
+    assert len(near) == 1 and sorted(x for x in got if x not in near) == sorted(want)
