@@ -1,7 +1,11 @@
-"""Risk segmentation with Spark ML k-means.
-
-* ``fit_kmeans``: K clusters, ``n_init`` k-means|| restarts with seeds
-  42, 43, ...; the restart with the lowest training cost is kept.
+"""Risk segmentation by k-means.
+
+* ``fit_many``: any number of fits (all restarts, all K) share every pass over the rows.  A pass assigns
+  each row to its nearest centre in every fit that still moves, by one matrix product with all centres, and
+  adds up counts, sums and squared distances per (fit, cluster), first within the task; fits x K rows come back.
+  Starting centres are k-means++ draws on a bounded sample of rows (``SEED_ROWS`` with the smallest key hashes;
+  the passes read all rows).
+* ``fit_kmeans``: one K with ``n_init`` restarts, the lowest squared distance wins (ties: the first).
 * ``silhouette``: mean Euclidean silhouette on a deterministic 500-row sample
   (hash-ordered top-k), computed in one bounded pandas group; the full-data
   squared-Euclidean silhouette of ``ClusteringEvaluator`` is reported too.
@@ -9,12 +13,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans, KMeansModel
+import pyarrow as pa
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -22,23 +26,114 @@ from pyspark.sql import functions as F
 
 from halcyon.operators import segments as S
 from halcyon.operators.modeling import SEED
+from halcyon.session import cut_lineage
 
 SILHOUETTE_SAMPLE = 500
+#: rows from which starting centres are drawn, at most
+SEED_ROWS = 10_000
+#: a fit ends when its centres move less than this share of the mean variance (sum of squared moves)
+TOLERANCE, MAX_ITER = 1e-4, 300
 
 
-def fit_kmeans(data: DataFrame, k: int = 4, n_init: int = 10, features: str = "features",
-               seed: int = SEED, max_iter: int = 300, parallelism: int = 4) -> KMeansModel:
-    """``n_init`` independent k-means|| fits (seeds seed..seed+n_init-1),
-    submitted concurrently; the lowest training cost wins (ties: lowest seed)."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    def run(i):
-        return KMeans(k=k, seed=seed + i, featuresCol=features, predictionCol="cluster_id", maxIter=max_iter,
-                      tol=1e-4).fit(data)
-
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, n_init))) as pool:
-        models = list(pool.map(run, range(n_init)))
-    return min(models, key=lambda m: m.summary.trainingCost)
+@dataclass
+class KMeansFit:
+    centres: np.ndarray         # (k, features)
+    inertia: float
+    passes: int
+
+    def nearest(self, x: np.ndarray) -> np.ndarray:
+        return _distances(x, self.centres).argmin(1)
+
+    def transform(self, df: DataFrame, features: str = "features", out: str = "cluster_id") -> DataFrame:
+        """``df`` with the number of the nearest centre; works in batches and in streams."""
+        fit = self
+
+        @F.pandas_udf("int")
+        def nearest(xs: pd.Series) -> pd.Series:
+            return pd.Series(fit.nearest(np.vstack(xs.to_numpy()).astype(float)) if len(xs) else [], dtype="int32")
+        return df.withColumn(out, nearest(vector_to_array(features)))
+
+
+def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared Euclidean distances of all rows to all centres."""
+    return np.maximum((x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)[None], 0.0)
+
+
+def _plus_plus(x: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k-means++: each further centre is drawn in proportion to the squared distance from those before it."""
+    rng = np.random.default_rng(seed)
+    chosen = [int(rng.integers(len(x)))]
+    near = _distances(x, x[chosen[0]][None])[:, 0]
+    while len(chosen) < k:
+        total = near.sum()
+        chosen.append(int(np.searchsorted(np.cumsum(near), rng.random() * total)) if total > 0 else int(rng.integers(len(x))))
+        chosen[-1] = min(chosen[-1], len(x) - 1)
+        near = np.minimum(near, _distances(x, x[chosen[-1]][None])[:, 0])
+    return x[chosen]
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+def fit_many(data: DataFrame, jobs: Sequence[tuple[int, int]], features: str = "features", key: str = "claim_key",
+             max_iter: int = MAX_ITER, tolerance: float = TOLERANCE) -> list[KMeansFit]:
+    """One fit per (k, seed) in ``jobs``, all by the same passes."""
+    rows = cut_lineage(data.select(F.col(key).alias("key"), vector_to_array(features).alias("x")))
+    sample = rows.orderBy(F.xxhash64("key"), "key").limit(SEED_ROWS).select("x").toPandas()["x"]      # bounded
+    if not len(sample):
+        raise ValueError("k-means needs at least one row")
+    seeds = np.vstack(sample.to_numpy()).astype(float)
+    width = seeds.shape[1]
+    limit = tolerance * float(seeds.var(axis=0).mean())
+    centres = [_plus_plus(seeds, k, seed) for k, seed in jobs]
+    inertia, passes, moving = [0.0] * len(jobs), [0] * len(jobs), set(range(len(jobs)))
+    schema = "job int, cluster int, n long, cost double, " + ", ".join(f"s{i} double" for i in range(width))
+
+    def one_pass(active: list[int]) -> dict:
+        now = [(j, centres[j]) for j in active]
+        stacked = np.vstack([c for _, c in now])
+
+        def add_up(batches):
+            totals = [(np.zeros(len(c), dtype=np.int64), np.zeros(len(c)), np.zeros((len(c), width))) for _, c in now]
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                x = _matrix(b)
+                d, at = _distances(x, stacked), 0
+                for (n, cost, s), (_, c) in zip(totals, now):
+                    mine = d[:, at:at + len(c)]
+                    at += len(c)
+                    near = mine.argmin(1)
+                    n += np.bincount(near, minlength=len(c))
+                    cost += np.bincount(near, mine[np.arange(len(x)), near], len(c))
+                    for i in range(width):
+                        s[:, i] += np.bincount(near, x[:, i], len(c))
+            for (n, cost, s), (j, c) in zip(totals, now):
+                cols = [pa.array(np.full(len(c), j, dtype=np.int32)), pa.array(np.arange(len(c), dtype=np.int32)), pa.array(n), pa.array(cost)]
+                yield pa.RecordBatch.from_arrays([*cols, *(pa.array(s[:, i]) for i in range(width))], names=[f.split()[0] for f in schema.split(", ")])
+
+        sums = rows.select("x").mapInArrow(add_up, schema).groupBy("job", "cluster").agg(
+            F.sum("n").alias("n"), F.sum("cost").alias("cost"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(width)]).collect()
+        return {(r["job"], r["cluster"]): r for r in sums}
+
+    while moving:
+        got = one_pass(sorted(moving))
+        for j in sorted(moving):
+            # a cluster without rows keeps its centre
+            new = np.array([[got[j, c][f"s{i}"] / got[j, c]["n"] for i in range(width)] if got[j, c]["n"] else old for c, old in enumerate(centres[j])])
+            shift, centres[j] = float(((new - centres[j]) ** 2).sum()), new
+            passes[j] += 1
+            if shift <= limit or passes[j] >= max_iter:
+                moving.discard(j)
+    for (j, _), r in one_pass(list(range(len(jobs)))).items():          # distances to the final centres
+        inertia[j] += r["cost"]
+    return [KMeansFit(c, i, p) for c, i, p in zip(centres, inertia, passes)]
+
+
+def fit_kmeans(data: DataFrame, k: int = 4, n_init: int = 10, features: str = "features", seed: int = SEED, key: str = "claim_key") -> KMeansFit:
+    """The best of ``n_init`` fits (seeds seed..seed+n_init-1)."""
+    return min(fit_many(data, [(k, seed + i) for i in range(n_init)], features, key), key=lambda m: m.inertia)
 
 
 def _silhouette_pdf(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -76,23 +171,15 @@ def silhouette_sq(assigned: DataFrame, features: str = "features") -> float:
 
 
 def sweep_k(data: DataFrame, ks=range(2, 9), n_init: int = 10, key: str = "claim_key") -> DataFrame:
-    """inertia and sampled silhouette per K (M13); data cached once."""
-    from concurrent.futures import ThreadPoolExecutor
-    cached = data.select(key, "features").persist(StorageLevel.MEMORY_AND_DISK)
-
-    def run(k):
-        m = fit_kmeans(cached, k, n_init)
-        sil = silhouette(m.transform(cached), key).first()["silhouette"]
-        return int(k), float(m.summary.trainingCost), float(sil)
-
-    # two K values at a time, each with its concurrent restarts (k-means fits
-    # hold only K centres on the driver)
-    with ThreadPoolExecutor(max_workers=2) as pool:
-        rows = list(pool.map(run, ks))
-    cached.unpersist()
+    """inertia and sampled silhouette per K (M13); all restarts of all K are fitted together."""
+    ks = list(ks)
+    jobs = [(k, SEED + i) for k in ks for i in range(n_init)]
+    fits = fit_many(data, jobs, key=key)
+    best = {k: min((f for f, (kk, _) in zip(fits, jobs) if kk == k), key=lambda m: m.inertia) for k in ks}
+    rows = [(int(k), m.inertia, float(silhouette(m.transform(data.select(key, "features")), key).first()["silhouette"])) for k, m in best.items()]
     out = data.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
-    best = max(rows, key=lambda r: r[2])[0]
-    return out.withColumn("is_optimal", F.col("k") == F.lit(best))
+    top = max(rows, key=lambda r: r[2])[0]
+    return out.withColumn("is_optimal", F.col("k") == F.lit(top))
 
 
 @dataclass
@@ -100,7 +187,7 @@ class Segmentation:
     """Fitted k-means plus the fit-time cluster table (K rows: profile rank,
     label, size), so scoring new rows joins a bounded static table and also
     works inside a stream."""
-    model: KMeansModel
+    model: KMeansFit
     k: int
     clusters: list  # (cluster_id, charge_rank, risk_label, similar_members_count)
 
@@ -108,6 +195,13 @@ class Segmentation:
         return spark.createDataFrame(self.clusters, "cluster_id int, charge_rank int, risk_label string, "
                                                     "similar_members_count long")
 
+    def to_state(self) -> dict:
+        return {"centres": self.model.centres.tolist(), "inertia": self.model.inertia, "passes": self.model.passes, "k": self.k, "clusters": self.clusters}
+
+    @classmethod
+    def from_state(cls, s: dict) -> "Segmentation":
+        return cls(KMeansFit(np.array(s["centres"]), s["inertia"], s["passes"]), s["k"], [tuple(c) for c in s["clusters"]])
+
     def assign(self, df: DataFrame) -> DataFrame:
         """cluster id, label, score = rank / (K - 1) * 10 (1 dp), size."""
         seg = self.model.transform(df)

@@ -127,6 +127,16 @@ class IsolationForest:
     severe: float = 0.0             # 2 % quantile of training decision values
     train_stats: dict = field(default_factory=dict)
 
+    def to_state(self) -> dict:
+        """All fitted numbers (at most trees x (2 sample - 1) nodes)."""
+        return {"trees": {str(t): {k: v.tolist() for k, v in a.items()} for t, a in self.forest.items()}, "sample_size": self.sample_size,
+                "contamination": self.contamination, "offset": self.offset, "severe": self.severe, "train_stats": self.train_stats}
+
+    @classmethod
+    def from_state(cls, s: dict) -> "IsolationForest":
+        return cls({int(t): {k: np.array(v) for k, v in a.items()} for t, a in s["trees"].items()}, s["sample_size"], s["contamination"],
+                   s["offset"], s["severe"], s["train_stats"])
+
     def _path_udf(self):
         trees = [self.forest[t] for t in sorted(self.forest)]
         c_m = avg_path_length(self.sample_size)

@@ -15,6 +15,7 @@ from halcyon.plans.registry import register
 from halcyon.plans.sqlviews import CLAIM_REQUESTS, with_claims
 from halcyon.session import scratch_path
 from halcyon.sources.claims import claim_requests, claims
+from halcyon.sources.models import load_models, save_models
 from halcyon.streaming import jobs as J
 from halcyon.streaming import scoring as SC
 
@@ -54,6 +55,20 @@ def q_score_requests(spark, sf_dir):
     return SC.score_requests(scorer(spark, sf_dir), claim_requests(spark, sf_dir))[0]
 
 
+@register("model_folder")
+def q_model_folder(spark, sf_dir):
+    """All models of the scorer and the topics saved as one published version, loaded back and used to score the requests."""
+    s = scorer(spark, sf_dir)
+    folder = scratch_path(spark, "model-folder")
+    models = {"pre": s.pre, "cost": s.cost, "anomaly": s.anomaly, "segments": s.segments, "approval": s.approval, "icd": s.icd,
+              "keywords": s.keywords, "topics": MQ.topic_model(spark, sf_dir)}
+    save_models(spark, folder, models)
+    m = load_models(spark, folder)
+    again = SC.ClaimScorer(levels=s.levels, **{k: v for k, v in m.items() if k != "topics"})
+    topics = m["topics"].assign(claims(spark, sf_dir).select("claim_key", "clinical_note")).select("claim_key", "topic_label")
+    return SC.score_requests(again, claim_requests(spark, sf_dir))[0].join(topics, "claim_key")
+
+
 @register("scoring_metrics")
 def q_scoring_metrics(spark, sf_dir):
     """X3 (batch): predictions, anomalies flagged, notes analysed."""
