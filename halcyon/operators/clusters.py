@@ -107,8 +107,9 @@ def fit_many(data: DataFrame, jobs: Sequence[tuple[int, int]], features: str = "
                     near = mine.argmin(1)
                     n += np.bincount(near, minlength=len(c))
                     cost += np.bincount(near, mine[np.arange(len(x)), near], len(c))
-                    for i in range(width):
-                        s[:, i] += np.bincount(near, x[:, i], len(c))
+                    member = np.zeros((len(x), len(c)))
+                    member[np.arange(len(x)), near] = 1.0
+                    s += member.T @ x
             for (n, cost, s), (j, c) in zip(totals, now):
                 cols = [pa.array(np.full(len(c), j, dtype=np.int32)), pa.array(np.arange(len(c), dtype=np.int32)), pa.array(n), pa.array(cost)]
                 yield pa.RecordBatch.from_arrays([*cols, *(pa.array(s[:, i]) for i in range(width))], names=[f.split()[0] for f in schema.split(", ")])
