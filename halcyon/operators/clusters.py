@@ -31,6 +31,8 @@ from halcyon.session import cut_lineage
 SILHOUETTE_SAMPLE = 500
 #: rows from which starting centres are drawn, at most
 SEED_ROWS = 10_000
+#: rows that one task takes in a pass, about
+PASS_ROWS = 16_000
 #: a fit ends when its centres move less than this share of the mean variance (sum of squared moves)
 TOLERANCE, MAX_ITER = 1e-4, 300
 
@@ -79,7 +81,9 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
 def fit_many(data: DataFrame, jobs: Sequence[tuple[int, int]], features: str = "features", key: str = "claim_key",
              max_iter: int = MAX_ITER, tolerance: float = TOLERANCE) -> list[KMeansFit]:
     """One fit per (k, seed) in ``jobs``, all by the same passes."""
-    rows = cut_lineage(data.select(F.col(key).alias("key"), vector_to_array(features).alias("x")))
+    # passes are short: few, larger pieces, whose number follows the rows only
+    pieces = max(8, data.count() // PASS_ROWS)
+    rows = cut_lineage(data.select(F.col(key).alias("key"), vector_to_array(features).alias("x")).coalesce(pieces))
     sample = rows.orderBy(F.xxhash64("key"), "key").limit(SEED_ROWS).select("x").toPandas()["x"]      # bounded
     if not len(sample):
         raise ValueError("k-means needs at least one row")
