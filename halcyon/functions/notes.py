@@ -67,28 +67,30 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+_ABBREVIATION = r"\b(?:" + "|".join(a for a, _ in ABBREVIATIONS) + r")\b"
+#: an abbreviation, or the text up to the next one
+_PIECE = rf"(?is){_ABBREVIATION}|.+?(?={_ABBREVIATION}|\z)"
+
+
 def clean_note(col) -> Column:
     """Expand abbreviations (whole word, any case), lower-case, keep
-    [a-z0-9] and blanks, squeeze blanks, trim (N1)."""
-    x = _c(col)
-    for abbr, full in ABBREVIATIONS:
-        x = F.regexp_replace(x, F.lit(r"(?i)\b" + abbr + r"\b"), F.lit(full))
-    x = F.lower(x)
-    x = F.regexp_replace(x, F.lit(r"[^a-z0-9\s]"), F.lit(" "))
-    x = F.regexp_replace(x, F.lit(r"\s+"), F.lit(" "))
-    return F.trim(x)
-
+    [a-z0-9] and blanks, squeeze blanks, trim (N1).
 
-def count_in(words: Column, vocab: Sequence[str]) -> Column:
-    return F.size(F.filter(words, lambda w: w.isin(list(vocab))))
+    One pass cuts the note into abbreviations and the text between them; no
+    expansion holds an abbreviation, so one look-up each replaces them all."""
+    full = F.create_map(*[F.lit(v) for abbr, text in ABBREVIATIONS for v in (abbr.lower(), text)])
+    pieces = F.regexp_extract_all(_c(col), F.lit(_PIECE), 0)
+    expanded = F.transform(pieces, lambda p: F.coalesce(F.element_at(full, F.lower(p)), p))
+    x = F.lower(F.array_join(expanded, ""))
+    return F.trim(F.regexp_replace(x, F.lit(r"[^a-z0-9]+"), F.lit(" ")))
 
 
 def urgency(col, cleaned: bool = False) -> Column:
-    """urgent / routine / moderate by counting marker words."""
+    """urgent / routine / moderate by counting marker words (N2); the note is cleaned once."""
     text = _c(col) if cleaned else clean_note(col)
-    words = F.split(text, " ")
-    u, r = count_in(words, URGENT_WORDS), count_in(words, ROUTINE_WORDS)
-    return F.when(u > r, F.lit("urgent")).when(r > u, F.lit("routine")).otherwise(F.lit("moderate"))
+    more = F.aggregate(F.split(F.coalesce(text, F.lit("")), " "), F.lit(0), lambda n, w: n + w.isin(URGENT_WORDS).cast("int") - w.isin(ROUTINE_WORDS).cast("int"))
+    labels = F.array(F.lit("routine"), F.lit("moderate"), F.lit("urgent"))
+    return F.element_at(labels, F.signum(more).cast("int") + 2)
 
 
 def _alternation(terms: Sequence[str]) -> str:

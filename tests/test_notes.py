@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from halcyon.functions import notes as N
@@ -42,6 +44,23 @@ def test_clean_word_boundary(spark):
     assert "once daily" not in _one(spark, "A good outcome.", N.clean_note)
 
 
+def test_clean_is_the_same_as_one_replacement_after_the_other(spark):
+    rng = random.Random(5)
+    parts = [a for a, _ in N.ABBREVIATIONS] + ["bp", "Od", "mI", "é", "_", "-", " ", "  ", "\n", "\t", "\r\n", "x", "7", "BMIs", "K", "\u2028", "/", "İ", "😀"]
+    notes = ["", " ", "BP", "BPBP", "éBP", "x_BP", "BP\n", "\nBP\n", None] + ["".join(rng.choices(parts, k=rng.randint(1, 14))) for _ in range(3000)]
+    x = F.col("n")
+    for abbr, full in N.ABBREVIATIONS:
+        x = F.regexp_replace(x, r"(?i)\b" + abbr + r"\b", full)
+    x = F.regexp_replace(F.lower(x), r"[^a-z0-9\s]", " ")
+    x = F.trim(F.regexp_replace(x, r"\s+", " "))
+    words = F.split(x, " ")
+    u, r = F.size(F.filter(words, lambda w: w.isin(N.URGENT_WORDS))), F.size(F.filter(words, lambda w: w.isin(N.ROUTINE_WORDS)))
+    label = F.when(u > r, "urgent").when(r > u, "routine").otherwise("moderate")
+    df = spark.createDataFrame([(n,) for n in notes + ["Severe, stable; urgent", "Mild BP check", "Angina"]], "n string")
+    got = df.select("n", N.clean_note("n").alias("a"), x.alias("b"), N.urgency("n").alias("c"), label.alias("d")).collect()
+    assert [(q.n, q.a, q.c) for q in got] == [(q.n, q.b, q.d) for q in got]
+
+
 def test_urgency_by_majority(spark):
     assert _one(spark, "Sepsis feared, collapse at home; troponin sent.", N.urgency) == "urgent"
     assert _one(spark, "Screening visit, mild hay fever, reassured.", N.urgency) == "routine"
