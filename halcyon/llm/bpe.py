@@ -123,10 +123,15 @@ def _block(name: str, docs: list[pa.RecordBatch], buckets: int, words_only: bool
     order = np.argsort(-np.bincount(at, minlength=len(coded.dictionary)), kind="stable")
     number = np.empty(len(order), dtype=np.int64)
     number[order] = np.arange(len(order))
+    known = coded.dictionary.take(pa.array(order))
+    # positions and words come from two scans: the name tells whether both have cut the same block
+    seen = hashlib.blake2b(repr(ids.to_pylist()).encode(), digest_size=12)
+    for part in (lengths, *_bytes_of(known)):
+        seen.update(np.ascontiguousarray(part).tobytes())
+    name = f"{name}-{seen.hexdigest()}"
     if not words_only:
         yield {"block": name, "bucket": -1, "blob": _dump((ids.to_pylist(), lengths, _planes(number[at])))}
         return
-    known = coded.dictionary.take(pa.array(order))
     bucket = _bucket_of(known, buckets) if len(known) else np.zeros(0, np.int64)
     # in alphabetical order within a bucket: words and ids compress better
     by = np.lexsort((pc.rank(known).to_numpy(), bucket)) if len(known) else bucket
@@ -251,8 +256,12 @@ def _documents(rows: pa.Table) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     start = np.cumsum(count) - count
     by = np.argsort(mark)  # word numbers are 0, 1, ...
     start, count = start[by], count[by]
+    if docs is None:
+        raise ValueError("the documents came in two different orders: write them out before they are encoded")
     doc_ids, lengths, planes = docs
     at = _unplanes(planes)
+    if len(mark) != (at.max() + 1 if len(at) else 0):
+        raise ValueError("words of a block are missing: write the documents out before they are encoded")
     ends = np.concatenate([[0], np.cumsum(lengths)])
     a = 0
     while a < len(doc_ids):

@@ -38,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from halcyon.llm.common import DOCUMENT_ROWS, lean, rows_per_batch, small, staged, table
+from halcyon.llm.common import BROADCAST_IDS, DOCUMENT_ROWS, lean, rows_per_batch, small, staged, table
 from halcyon.llm.components import connected_components
 from halcyon.llm.words import groups, hashed, mix, shingle_set
 from halcyon.plans.registry import register
@@ -280,7 +280,8 @@ def _near_duplicates(docs: DataFrame, share: int) -> DataFrame:
         for end in ("a", "b"):
             of = found.select(F.col("node").alias(end), F.col("component").alias("c"))
             more = more.join(of, end, "left").withColumn(end, F.coalesce("c", end)).drop("c")
-        joined = connected_components(more).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+        # one row a component, two ids each: a component may hold most rows of the other side
+        joined = small(connected_components(more).select(F.col("node").alias("component"), F.col("component").alias("whole")), BROADCAST_IDS // 2)
         singles = joined.join(found.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("node"), F.col("whole").alias("component"))
         found = found.join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component")).unionByName(singles)
     component = (members.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))

@@ -1,5 +1,7 @@
 import hashlib
 
+import pyarrow as pa
+import pytest
 from tokenizers import Tokenizer
 
 from halcyon.llm import bpe
@@ -26,3 +28,18 @@ def test_decoding_and_empty(frame):
     docs = frame(list(enumerate(ODD)))
     assert {r.doc_id: r.decoded for r in bpe.encode(docs).collect()} == {i: x or "" for i, x in enumerate(ODD)}
     assert bpe.encode_digests(docs.limit(0)).count() == 0
+
+
+def test_blocks_cut_differently_in_both_scans_are_refused():
+    def rows(ids, words):
+        docs = [pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.list_(pa.string()))], names=["doc_id", "words"])]
+        return [next(bpe._block("0-0", docs, 4, only)) for only in (False, True)]
+
+    same = rows([1, 2], [["a", "b"], ["a"]]), rows([1, 2], [["a", "b"], ["a"]])
+    assert len({r["block"] for pair in same for r in pair}) == 1
+    for other in (rows([2, 1], [["a", "b"], ["a"]]), rows([1, 2], [["a", "c"], ["a"]]), rows([1, 2], [["a"], ["a", "b"]])):
+        assert other[0]["block"] != same[0][0]["block"]
+    positions, words = same[0]
+    for alone in (positions, words):
+        with pytest.raises(ValueError):
+            list(bpe._documents(pa.Table.from_batches([bpe._batch([alone])])))
