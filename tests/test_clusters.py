@@ -53,3 +53,17 @@ def test_more_clusters_than_rows_and_none(spark, data):
     assert C.fit_many(df.where("claim_key < 2"), [(4, 0)])[0].inertia == pytest.approx(0.0, abs=1e-9)
     with pytest.raises(ValueError):
         C.fit_many(df.limit(0), [(2, 0)])
+
+
+def test_seed_rows_are_the_smallest_hashes_and_few_are_sent(spark):
+    rows = spark.range(5000).selectExpr("id AS key", "array(cast(id AS double)) AS x").repartition(40).cache()
+    want = [r.key for r in rows.selectExpr("key", "xxhash64(key) AS h").orderBy("h", "key").limit(50).collect()]
+    got = C.seed_rows(rows, 5000, 50)
+    assert [r.key for r in got.collect()] == want
+    # not `most` rows from each of the 40 pieces: a task of the last step holds a part of about 100 rows that a bound leaves
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in plan
+    # one key for all rows: its hash may be above the bound, and no row is lost
+    same = rows.selectExpr("7L AS key", "x")
+    assert C.seed_rows(same, 5000, 50).count() == 50
+    assert C.seed_rows(same.limit(30), 30, 50).count() == 30
