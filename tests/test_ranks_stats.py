@@ -158,3 +158,22 @@ def test_approx_quantiles_close(skewed):
     for q, name in ((0.5, "q50"), (0.9, "q90")):
         rank = (vals <= got[name]).sum()
         assert abs(rank - q * n) <= 0.01 * n + 1000  # a third of the rows share one value
+
+
+def test_percentile_rank_of_doubles_moves_no_scored_row(spark):
+    ref = spark.createDataFrame([(v,) for v in (1.0, 2.0, 2.0, 5.0, None, float("nan"))], "v double")
+    new = spark.createDataFrame([(i, v) for i, v in enumerate((0.5, 1.0, 2.0, 3.0, 9.0, None, float("nan"), 2.0))], "id int, v double")
+    got = K.percentile_rank(ref, new, "v")
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.id: r.percentile_rank for r in got.collect()} == {0: 0.0, 1: 20.0, 2: 60.0, 3: 60.0, 4: 80.0, 5: None, 6: 100.0, 7: 60.0}
+    empty = K.percentile_rank(ref.limit(0), new, "v")
+    assert all(r.percentile_rank is None for r in empty.collect())
+
+
+def test_cuts_of_one_range_are_a_constant(spark):
+    counts = spark.range(3000).selectExpr("cast(id * 7 % 3000 AS double) AS v", "1L AS n")
+    keyed, ranges = K.with_ranges(counts, "v", [], 100)
+    sizes = {r._b: r for r in keyed.groupBy("_b").agg(K.F.count("*").alias("n"), K.F.min("v").alias("lo"), K.F.max("v").alias("hi")).collect()}
+    assert len(sizes) <= ranges and max(r.n for r in sizes.values()) <= 100 and sum(r.n for r in sizes.values()) == 3000
+    order = [sizes[b] for b in sorted(sizes)]
+    assert all(a.hi < b.lo for a, b in zip(order, order[1:]))

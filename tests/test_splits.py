@@ -21,3 +21,9 @@ def test_shares_are_exact_per_class(spark, monkeypatch, stratum):
     assert {c: n[c] for c in sizes} == {"a": 100, "b": 7, "c": 1, "d": 1, "e": 0, None: 2}
     again = M.stratified_split(df.repartition(2), "c", ["k"])[1].collect()
     assert {r.k for r in again} == {r.k for r in got_test}
+
+
+def test_pieces_of_a_model_input_grow_slower_than_its_rows():
+    from halcyon.operators.modeling import pieces
+    assert [pieces(n) for n in (0, 1, 2000, 2001, 150_000)] == [1, 1, 1, 2, 75]
+    assert pieces(9_000_000) < 200 and pieces(54_000_000) < 700
