@@ -163,3 +163,34 @@ def test_boosting_equals_brute_force(data):
                 assert got[s, size][f] == pytest.approx(r2, rel=1e-6)
     model = T.fit_boost(b, 6, 3, 0.1)
     assert np.allclose(model._walk(bins, 0, 6) + model.start, brute_boost(bins, label, np.ones(len(y), bool), 6, 3, 0.1), rtol=1e-6)
+
+
+@pytest.mark.parametrize("features, min_split", [(None, 2), (2, 10)])
+def test_histograms_and_sorted_rows_grow_the_same_tree(monkeypatch, features, min_split):
+    rng = np.random.default_rng(3)
+    bins = rng.integers(0, [2, 5, 256, 256, 40], (2500, 5)).astype(np.uint8)
+    y, w = rng.integers(-60, 60, 2500) + bins[:, 1].astype(int) * 9, rng.poisson(1, 2500) * 4096
+    spec = T.Spec(1, min_split, features)
+    plain = T._grow_levels(bins, y, w, spec, np.uint64(4))
+    monkeypatch.setattr(T, "GROW_ROWS", 70)
+    got = T.grow(bins, y, w, spec, np.uint64(4))
+    assert plain.keys() == got.keys() and all(np.array_equal(plain[k], got[k]) for k in plain)
+    # routed row by row to a cut depth
+    for depth in (0, 3, 50):
+        at = T.node_at(got, got["leaf"], depth)
+        node = np.zeros(len(y), dtype=int)
+        while len(go := np.flatnonzero((got["feature"][node] >= 0) & (got["depth"][node] < depth))):
+            m = node[go]
+            node[go] = got["left"][m] + (bins[go, got["feature"][m]] > got["bin"][m])
+        assert np.array_equal(at, node)
+
+
+def test_boosting_keeps_no_copy_of_the_rows_per_feature():
+    import tracemalloc
+    rng = np.random.default_rng(4)
+    bins = rng.integers(0, 256, (20_000, 20)).astype(np.uint8)
+    tracemalloc.start()
+    T.boost(bins, rng.normal(size=20_000), np.ones(20_000, dtype=bool), 2, 3, .1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * bins.size         # before: several arrays of 8 bytes a row and feature
