@@ -1,3 +1,4 @@
+import pytest
 import random
 
 from pyspark.sql import functions as F
@@ -83,3 +84,17 @@ def test_stop_words_match_spark(spark):
 
     from halcyon.operators.text import english_stop_words
     assert english_stop_words() == list(StopWordsRemover.loadDefaultStopWords("english"))
+
+
+def test_model_fits_shuffle_and_keep_notes_not_their_terms(monkeypatch, small_claims):
+    from halcyon.operators import notemodels as NM
+    seen = []
+
+    def record(df, *args, **kwargs):
+        seen.append(df.columns)
+        raise RuntimeError("seen")
+    monkeypatch.setattr(NM, "size_partitions", record)
+    for fit in (NM.fit_icd, NM.fit_topics):
+        with pytest.raises(RuntimeError, match="seen"):
+            fit(small_claims)
+    assert len(seen) == 2 and all("terms" not in c for c in seen)
