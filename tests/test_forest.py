@@ -194,3 +194,33 @@ def test_boosting_keeps_no_copy_of_the_rows_per_feature():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 12 * bins.size         # before: several arrays of 8 bytes a row and feature
+
+
+def test_shipped_rows_carry_no_more_than_subtrees_need(data):
+    b = T.bin_rows(data, ["claim_key"], "label", weight="weight", fold="fold")
+    spec = T.Spec(2, seed=4)
+    for folds, held in (([-2], False), ([0, 1, 2], True)):
+        trees = T._upper_levels(b, folds, spec, 10_000)
+        for r in T._ship(b, trees, spec, held).collect():
+            out = np.frombuffer(r.held, dtype=bool)
+            # a hash for held-out rows only, labels and weights of four bytes
+            assert len(r.h) == 8 * out.sum() and len(r.y) == len(r.w) == 4 * len(out) and out.any() == held
+
+
+def test_narrow_numbers_of_both_widths():
+    parts = [np.array([1, -5]), np.array([2 ** 40, 3, -2 ** 31]), np.zeros(0, dtype=np.int64), np.array([-2 ** 31, 2 ** 31 - 1])]
+    cells = [T._narrow(x) for x in parts]
+    assert [len(c) for c in cells] == [8, 24, 0, 8]
+    assert (T._widened(cells, [len(x) for x in parts]) == np.concatenate(parts)).all()
+
+
+@pytest.mark.parametrize("features, min_split", [(None, 2), (2, 5)])
+def test_features_of_two_bins_and_constant_ones_against_brute_force(features, min_split):
+    rng = np.random.default_rng(6)
+    for it in range(12):
+        bins = np.stack([rng.integers(0, k, 60) for k in (2, 2, 1, 9, 3, 2)], axis=1).astype(np.uint8)
+        bins[:, 5] = bins[:, 0]                                      # equal scores: the first feature counts
+        y, w, spec = rng.integers(-9, 9, 60), rng.integers(0, 3, 60), T.Spec(1, min_split, features, seed=it)
+        want, got = brute_tree(bins, y, w, spec, spec.root(0)), T.grow(bins, y, w, spec, spec.root(0))
+        value = got["s"] / np.maximum(got["w"], 1)
+        assert all(value[leaf] == walk(want, r) for leaf, r in zip(got["leaf"], bins))
