@@ -115,15 +115,17 @@ def _bucket_of(words: pa.Array, buckets: int) -> np.ndarray:
 def _block(name: str, docs: list[pa.RecordBatch], buckets: int, words_only: bool) -> Iterator[dict]:
     """A block's positions as one row (bucket -1), or its distinct words as a row for each bucket."""
     ids = pa.concat_arrays([b.column(0) for b in docs])
-    words = pa.concat_arrays([b.column(1) for b in docs])
-    lengths = np.diff(words.offsets.to_numpy())
-    coded = words.flatten().dictionary_encode()
-    at = coded.indices.to_numpy(zero_copy_only=False) if len(coded) else np.zeros(0, np.int32)
+    lengths = np.concatenate([np.diff(b.column(1).offsets.to_numpy()) for b in docs])
+    # the words of a block are as large as its batches: only their numbers are put together
+    coded = pa.chunked_array([b.column(1).flatten() for b in docs]).dictionary_encode()
+    dictionary = coded.chunk(0).dictionary if coded.num_chunks else pa.array([], pa.string())
+    at = np.concatenate([np.zeros(0, np.int32), *(c.indices.to_numpy(zero_copy_only=False) for c in coded.chunks)])
+    del docs, coded
     # number the words by frequency, then the common numbers are small
-    order = np.argsort(-np.bincount(at, minlength=len(coded.dictionary)), kind="stable")
-    number = np.empty(len(order), dtype=np.int64)
+    order = np.argsort(-np.bincount(at, minlength=len(dictionary)), kind="stable")
+    number = np.empty(len(order), dtype=np.int32)
     number[order] = np.arange(len(order))
-    known = coded.dictionary.take(pa.array(order))
+    known = dictionary.take(pa.array(order))
     # positions and words come from two scans: the name tells whether both have cut the same block
     seen = hashlib.blake2b(repr(ids.to_pylist()).encode(), digest_size=12)
     for part in (lengths, *_bytes_of(known)):

@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
@@ -43,3 +44,18 @@ def test_blocks_cut_differently_in_both_scans_are_refused():
     for alone in (positions, words):
         with pytest.raises(ValueError):
             list(bpe._documents(pa.Table.from_batches([bpe._batch([alone])])))
+
+
+def test_a_block_does_not_copy_its_words():
+    rng = np.random.default_rng(2)
+    batches = [pa.RecordBatch.from_arrays([pa.array([2 * k, 2 * k + 1]), pa.array([[f"word {i}" for i in rng.integers(0, 900, 50_000)] for _ in range(2)]), pa.array([1, 1])],
+                                          names=["doc_id", "words", "bytes"]) for k in range(4)]
+    plain, counted = pa.default_memory_pool(), pa.proxy_memory_pool(pa.default_memory_pool())
+    for words_only in (False, True):
+        pa.set_memory_pool(counted)
+        try:
+            rows = list(bpe._block("0-0", list(batches), 3, words_only))
+        finally:
+            pa.set_memory_pool(plain)
+        assert [r["bucket"] for r in rows] == ([0, 1, 2] if words_only else [-1])
+    assert counted.max_memory() < 0.6 * sum(b.column(1).nbytes for b in batches)
