@@ -46,6 +46,8 @@ PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 SPECIAL = "<|endoftext|>"
 #: bytes of text in a block and of distinct words in a bucket, about
 BLOCK, BUCKET = 16 << 20, 2 << 20
+#: positions worked on at once
+AT_ONCE = 200_000
 _ROW = "block string, bucket int, blob binary"
 _DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _TOKENIZER: dict = {}
@@ -106,23 +108,30 @@ def _bytes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _bucket_of(words: pa.Array, buckets: int) -> np.ndarray:
     """A hash of each word's bytes (a sum of mixed (byte, place) values) as its bucket."""
-    offsets, data = _bytes_of(words)
-    place = np.arange(len(data), dtype=np.uint64) - np.repeat(offsets[:-1], np.diff(offsets)).astype(np.uint64)
-    total = np.concatenate([[0], np.cumsum(mix((place << np.uint64(8)) | data), dtype=np.uint64)]).astype(np.uint64)
-    return (mix(total[offsets[1:]] - total[offsets[:-1]]) % np.uint64(buckets)).astype(np.int64)
+    out = np.zeros(len(words), dtype=np.int64)
+    # a byte takes many times its size here: some words at a time
+    for a in range(0, len(words), AT_ONCE // 16):
+        offsets, data = _bytes_of(words.slice(a, AT_ONCE // 16))
+        place = np.arange(len(data), dtype=np.uint64) - np.repeat(offsets[:-1], np.diff(offsets)).astype(np.uint64)
+        total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix((place << np.uint64(8)) | data), dtype=np.uint64)])
+        out[a:a + AT_ONCE // 16] = mix(total[offsets[1:]] - total[offsets[:-1]]) % np.uint64(buckets)
+    return out
 
 
 def _block(name: str, docs: list[pa.RecordBatch], buckets: int, words_only: bool) -> Iterator[dict]:
     """A block's positions as one row (bucket -1), or its distinct words as a row for each bucket."""
     ids = pa.concat_arrays([b.column(0) for b in docs])
     lengths = np.concatenate([np.diff(b.column(1).offsets.to_numpy()) for b in docs])
-    # the words of a block are as large as its batches: only their numbers are put together
+    # the words of a block are as large as its batches: only their numbers are put together, and worked through in pieces
     coded = pa.chunked_array([b.column(1).flatten() for b in docs]).dictionary_encode()
     dictionary = coded.chunk(0).dictionary if coded.num_chunks else pa.array([], pa.string())
-    at = np.concatenate([np.zeros(0, np.int32), *(c.indices.to_numpy(zero_copy_only=False) for c in coded.chunks)])
+    places = [c.indices.slice(a, AT_ONCE).to_numpy(zero_copy_only=False) for c in coded.chunks for a in range(0, len(c), AT_ONCE)]
     del docs, coded
     # number the words by frequency, then the common numbers are small
-    order = np.argsort(-np.bincount(at, minlength=len(dictionary)), kind="stable")
+    often = np.zeros(len(dictionary), dtype=np.int64)
+    for at in places:
+        often += np.bincount(at, minlength=len(often))
+    order = np.argsort(-often, kind="stable")
     number = np.empty(len(order), dtype=np.int32)
     number[order] = np.arange(len(order))
     known = dictionary.take(pa.array(order))
@@ -132,7 +141,8 @@ def _block(name: str, docs: list[pa.RecordBatch], buckets: int, words_only: bool
         seen.update(np.ascontiguousarray(part).tobytes())
     name = f"{name}-{seen.hexdigest()}"
     if not words_only:
-        yield {"block": name, "bucket": -1, "blob": _dump((ids.to_pylist(), lengths, _planes(number[at])))}
+        planes = [np.concatenate(x) for x in zip(_planes(number[:0]), *(_planes(number[at]) for at in places))]
+        yield {"block": name, "bucket": -1, "blob": _dump((ids.to_pylist(), lengths, planes))}
         return
     bucket = _bucket_of(known, buckets) if len(known) else np.zeros(0, np.int64)
     # in alphabetical order within a bucket: words and ids compress better
@@ -238,10 +248,6 @@ class Spelling:
         return self.data[np.repeat(self.ends[ids] - begin[:-1], n) + np.arange(begin[-1])], begin
 
 
-#: positions worked on at once
-AT_ONCE = 200_000
-
-
 def _documents(rows: pa.Table) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """A block's ids joined back to its positions: (doc_ids, all their ids, where each document's begin) of some documents at a time."""
     docs, marks, flats, counts = None, [], [], []

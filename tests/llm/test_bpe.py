@@ -1,4 +1,5 @@
 import hashlib
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -59,3 +60,26 @@ def test_a_block_does_not_copy_its_words():
             pa.set_memory_pool(plain)
         assert [r["bucket"] for r in rows] == ([0, 1, 2] if words_only else [-1])
     assert counted.max_memory() < 0.6 * sum(b.column(1).nbytes for b in batches)
+
+
+def test_a_block_takes_little_more_than_its_words():
+    rng = np.random.default_rng(3)
+    words = [f"word {i}" for i in rng.integers(0, 200_000, 1_000_000)]
+    docs = [pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([words[:400_000], words[400_000:]])], names=["doc_id", "words"])]
+    for words_only in (False, True):
+        tracemalloc.start()
+        try:
+            rows = list(bpe._block("0-0", list(docs), 3, words_only))
+            most = tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+        assert [r["bucket"] for r in rows] == ([0, 1, 2] if words_only else [-1])
+        assert most < 24_000_000
+
+
+def test_a_word_has_one_bucket_in_all_blocks():
+    rng = np.random.default_rng(6)
+    words = [f"word {i}" for i in range(3000)]
+    mixed = rng.permutation(words).tolist()
+    a, b = (dict(zip(x, bpe._bucket_of(pa.array(x), 64).tolist())) for x in (words, mixed))
+    assert a == b and len(set(a.values())) == 64
