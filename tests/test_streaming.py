@@ -93,6 +93,22 @@ def test_requests_scored_and_rejected_exactly_once(spark):
     assert scored.where("timestamp IS NULL OR processing_time_ms <= 0").count() == 0
 
 
+def test_claim_stream_turns_down_invalid_claims(spark, small_claims):
+    """Arriving claims pass V8 before they are scored; those that do keep their columns, the others stand beside them with reasons."""
+    bad = [(11, 0, "male", 25.0, 1, "no", "southeast"), (12, 40, None, 25.0, 1, "no", "southeast"), (13, 40, "male", 71.0, 11, "no", "southeast"),
+           (14, 40, "male", 25.0, 1, None, "nowhere")]
+    odd = spark.createDataFrame([(*r, 100.0, "note", "E11") for r in [*bad, (15, 40, " MALE", 25.0, 1, "yes", "SouthEast ")]], small_claims.schema)
+    c = small_claims.unionByName(odd)
+    path = J.land_files(c, scratch_path(spark, "t-claims"), files=3)
+    sink = J.score_stream(spark, TinyScorer(), path, c.schema)
+    scored = {r.claim_key: (r.sex, r.region) for r in J.scored(spark, sink).collect()}
+    assert scored == {r.claim_key: (r.sex, r.region) for r in c.collect() if not 11 <= r.claim_key <= 14}
+    assert {r.claim_key: r.reject_reasons for r in J.rejected(spark, sink).collect()} == {
+        11: ["age_out_of_range"], 12: ["gender_missing"], 13: ["bmi_out_of_range", "children_out_of_range"], 14: ["smoker_missing", "region_invalid"]}
+    total = J.serving_metrics(spark, sink).first()
+    assert (total.predictions_total, total.rejected_total) == (len(scored), 4)
+
+
 def test_monitor_summary(spark):
     log = spark.createDataFrame([(True,), (False,), (False,), (False,)], "is_anomaly boolean")
     drift = spark.createDataFrame([("bmi", True), ("age", False), ("charges", True)],
